@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries.base import corpus, documents, query, vocabulary, vocabulary_table
-from queries.sql import PARTS, SEED, seed, unit, with_parts
-from textloom.operators import examples, masking, packing
+from queries.sql import PARTS, SEED, mix, seed, unit, with_parts
+from textloom.operators import batching, examples, masking, packing
 from textloom.operators.vocabulary import UNK, replacement_vocabulary
 from textloom.operators.wordpiece import tokenise_text
 from textloom.plans import pretraining
@@ -293,7 +293,7 @@ PRETRAINING_SQL = with_parts(
             AS label_ids,
           coalesce(len(m.pos), 0)::BIGINT AS n_weights
    FROM inputs i LEFT JOIN masks m USING (ex)""",
-).replace("\n, masks AS", ", masks AS")
+)
 
 
 @query("pretraining_examples", PRETRAINING_SQL)
@@ -311,6 +311,117 @@ def pretraining_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHORT_CONFIG = examples.ExampleConfig(
+    max_seq_length=256, sentence_pair_prob=0.0, short_seq_prob=0.3, dupe_factor=2, seed=SEED
+)
+_LINE_KEYS = ["shard", "dupe", "doc_id", "line_no"]
+SHORT_SQL = with_parts(
+    "line_tokens",
+    f""", targets AS (
+      SELECT shard, dupe, doc_id, line_no, rn, n,
+             CASE WHEN rn > 1 AND {unit(seed(str(SEED), "'short'", *_LINE_KEYS))} < 0.3
+                  THEN 5 + {seed(str(SEED), "'short-length'", *_LINE_KEYS)} % 252 ELSE 256 END AS target
+      FROM numbered, (SELECT unnest([0, 1]) AS dupe)),
+    short_packed AS (
+      SELECT shard, dupe, rn, 0::BIGINT AS grp, n AS acc, target FROM targets WHERE rn = 1
+      UNION ALL
+      SELECT t.shard, t.dupe, t.rn, CASE WHEN p.acc >= p.target THEN p.grp + 1 ELSE p.grp END,
+             CASE WHEN p.acc >= p.target THEN t.n ELSE p.acc + t.n END,
+             CASE WHEN p.acc >= p.target THEN t.target ELSE p.target END
+      FROM short_packed p JOIN targets t ON t.shard = p.shard AND t.dupe = p.dupe AND t.rn = p.rn + 1)
+    SELECT shard, dupe::BIGINT AS dupe, grp, count(*) AS n_lines, max(acc)::BIGINT AS n_tokens,
+           max(target)::BIGINT AS target
+    FROM short_packed GROUP BY shard, dupe, grp""",
+)
+
+
+@query("pack_short_targets", SHORT_SQL)
+def pack_short_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing where three groups in ten get a target drawn below the maximum."""
+    groups = _groups(spark, sf_dir, SHORT_CONFIG)
+    return groups.select(
+        "shard",
+        F.col("dupe").cast("bigint").alias("dupe"),
+        "grp",
+        F.size("lines").cast("bigint").alias("n_lines"),
+        F.size(F.flatten("lines")).cast("bigint").alias("n_tokens"),
+        F.col("target").cast("bigint").alias("target"),
+    )
+
+
 PAIR_CONFIG = examples.ExampleConfig(
-    max_seq_length=128, sentence_pair_prob=0.5, short_seq_prob=0.0, dupe_factor=1, seed=SEED
+    max_seq_length=512, sentence_pair_prob=0.5, short_seq_prob=0.0, dupe_factor=1, seed=SEED
+)
+_GROUP_KEYS = [str(SEED), "'pair'", "shard", "0", "grp"]
+_COIN_KEYS = [str(SEED), "'coin'", "shard", "0", "grp"]
+PAIR_SQL = with_parts(
+    "packed",
+    f""", members AS (
+      SELECT p.shard, p.grp, l.toks, l.n,
+             row_number() OVER (PARTITION BY p.shard, p.grp ORDER BY p.rn) - 1 AS i,
+             CASE WHEN {unit(seed(*_GROUP_KEYS))} < 0.5 THEN 254 ELSE 100000 END AS goal,
+             {seed(*_COIN_KEYS)} AS coin_seed
+      FROM packed p JOIN numbered l USING (shard, rn)),
+    coins AS (SELECT *, {unit(mix("coin_seed", "i"))} AS coin FROM members),
+    placed AS (
+      SELECT shard, grp, i, TRUE AS is_first, n AS a, 0::BIGINT AS b FROM coins WHERE i = 0
+      UNION ALL
+      SELECT shard, grp, i, ok, CASE WHEN ok THEN a + n ELSE a END, CASE WHEN ok THEN b ELSE b + n END
+      FROM (SELECT c.shard, c.grp, c.i, c.n, p.a, p.b,
+                   p.a = 0 OR p.a + c.n < c.goal OR (p.b = 0 AND p.a < c.goal AND c.coin < 0.5) AS ok
+            FROM placed p JOIN coins c ON c.shard = p.shard AND c.grp = p.grp AND c.i = p.i + 1)),
+    split AS (
+      SELECT shard, grp,
+             coalesce(flatten(list(toks ORDER BY i) FILTER (WHERE is_first)), []) AS first,
+             coalesce(flatten(list(toks ORDER BY i) FILTER (WHERE NOT is_first)), []) AS second
+      FROM placed JOIN coins USING (shard, grp, i) GROUP BY shard, grp)
+    SELECT shard, grp, len(first)::BIGINT AS n_first, len(second)::BIGINT AS n_second,
+           md5(array_to_string(first, ' ')) AS first_md5,
+           CASE WHEN len(second) = 0 THEN md5('') ELSE md5(array_to_string(second, ' ')) END AS second_md5
+    FROM split""",
+)
+
+
+@query("segment_pairs", PAIR_SQL)
+def segment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a group split over two segments in half of the groups."""
+    vocab = vocabulary(spark, sf_dir)
+    split = examples.split_segments(_groups(spark, sf_dir, PAIR_CONFIG), PAIR_CONFIG)
+    text = lambda c: F.md5(F.array_join(vocab.decode(F.col(c)), " "))
+    return split.select(
+        "shard",
+        "grp",
+        F.size("first").cast("bigint").alias("n_first"),
+        F.size("second").cast("bigint").alias("n_second"),
+        text("first").alias("first_md5"),
+        text("second").alias("second_md5"),
+    )
+
+
+@query(
+    "shuffle_batches",
+    f"""WITH ranked AS (
+          SELECT doc_id, row_number() OVER (ORDER BY {seed(str(SEED), "'shuffle'", "1", "doc_id")}, doc_id) - 1 AS r
+          FROM documents)
+        SELECT doc_id, r // 32 AS batch, r % 32 AS slot FROM ranked WHERE r // 32 < (SELECT count(*) // 32 FROM documents)""",
+)
+def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global shuffle of an epoch, cut into batches of 32 without the remainder."""
+    docs = documents(spark, sf_dir, "doc_id")
+    rows = batching.shuffled_batches(docs, F.col("doc_id"), 32, epoch=1, seed=SEED)
+    return rows.select("doc_id", F.col("batch").cast("bigint").alias("batch"), F.col("slot").cast("bigint").alias("slot"))
+
+
+@query(
+    "pad_batches",
+    """WITH padded AS (
+         SELECT doc_id, lang, FALSE AS is_pad FROM documents
+         UNION ALL
+         SELECT doc_id, lang, TRUE FROM (SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 1),
+                (SELECT unnest(range(40 - count(*) % 40)) AS k FROM documents))
+       SELECT doc_id, lang, is_pad, count(*) AS n FROM padded GROUP BY ALL""",
 )
+def pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set extended to a multiple of batch size times devices (8 x 5)."""
+    padded = batching.pad_for_devices(documents(spark, sf_dir, "doc_id", "lang"), "doc_id", 8, 5)
+    return padded.groupBy("doc_id", "lang", "is_pad").agg(F.count("*").alias("n"))

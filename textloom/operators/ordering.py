@@ -45,7 +45,8 @@ def running_sum(blocked: DataFrame, value: Column, order: list[Column], name: st
 
 
 def hash_rank(df: DataFrame, draw: Column, tie: Column, name: str, buckets: int = 4096) -> DataFrame:
-    """0-based rank of each row in the order of a uniform integer ``draw``.
+    """0-based rank of each row in the order of a uniform integer ``draw``, and the
+    number of rows as ``<name>_total``.
 
     Uniform draws make equal buckets, so ranks come from a window per bucket plus
     the bucket offsets; ``tie`` makes the order total.
@@ -58,7 +59,11 @@ def hash_rank(df: DataFrame, draw: Column, tie: Column, name: str, buckets: int
     counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     # at most `buckets` rows
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    offsets = counts.select(
+        "_bucket",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(f"{name}_total"),
+    )
     inside = Window.partitionBy("_bucket").orderBy("_draw", tie)
     return (
         keyed.withColumn("_rank", F.row_number().over(inside) - 1)

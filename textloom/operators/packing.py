@@ -113,6 +113,7 @@ def _number_groups(rows: pd.DataFrame) -> pd.DataFrame:
     ends, before = _group_ends(lengths, targets)
     missing, group = int(rows["entry_missing"].iloc[0]), int(rows["entry_group"].iloc[0])
     numbers = np.empty(n, dtype=np.int64)
+    start_target = np.zeros(n, dtype=np.int64)
     start = 0
     if missing > 0:
         end = int(np.searchsorted(before[1:], missing, side="left"))
@@ -121,6 +122,7 @@ def _number_groups(rows: pd.DataFrame) -> pd.DataFrame:
     while start < n:
         end = int(ends[start])
         numbers[start : end + 1] = group
+        start_target[start] = targets[start]
         start, group = end + 1, group + 1
     doc_start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     new_run = np.ones(n, dtype=bool)
@@ -129,7 +131,8 @@ def _number_groups(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(new_run)
     size = np.diff(np.append(first, n))
     doc = np.searchsorted(doc_start, first, side="right") - 1
-    runs = list(zip(numbers[first].tolist(), (first - doc_start[doc]).tolist(), size.tolist(), strict=True))
+    columns = [numbers[first], first - doc_start[doc], size, start_target[first]]
+    runs = list(zip(*[c.tolist() for c in columns], strict=True))
     at = np.searchsorted(doc, np.arange(len(sizes) + 1)).tolist()
     return pd.DataFrame(
         {
@@ -141,7 +144,7 @@ def _number_groups(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-RUN_SCHEMA = "shard string, dupe int, doc_id bigint, runs array<struct<grp: bigint, first: int, size: int>>"
+RUN_SCHEMA = "shard string, dupe int, doc_id bigint, runs array<struct<grp: bigint, first: int, size: int, target: int>>"
 
 
 def pack_lines(
@@ -159,7 +162,8 @@ def pack_lines(
     ``(doc_id, line)`` within a shard; document boundaries do not end a group,
     the end of a shard does. Result: ``shard, dupe, doc_id, runs``:
     for each group the document takes part in, its number within the shard, the
-    first line and the number of lines.
+    first line, the number of lines, and the target of the group where it starts
+    here (0 where it only continues).
 
     The packing is the same for every duplicate unless targets are drawn, so
     without short targets one pass serves all of them.
@@ -204,7 +208,7 @@ def pack_lines(
 
 def collect_groups(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """Attach the tokens: ``docs`` has ``shard, doc_id, lines array<array<int>>``.
-    Result: ``shard, dupe, grp, lines`` with the lines of a group in order. A
+    Result: ``shard, dupe, grp, target, lines`` with the lines of a group in order. A
     group holds fewer than its target of tokens plus one line, so no group grows
     with the data. Lines of one document that fall into one group travel together.
     """
@@ -215,12 +219,15 @@ def collect_groups(docs: DataFrame, packed: DataFrame) -> DataFrame:
         F.explode(
             F.transform(
                 "runs",
-                lambda r: F.struct(r["grp"].alias("grp"), F.slice("lines", r["first"] + 1, r["size"]).alias("lines")),
+                lambda r: F.struct(r["grp"].alias("grp"), r["target"].alias("target"), F.slice("lines", r["first"] + 1, r["size"]).alias("lines")),
             )
         ).alias("p"),
     )
     return (
         parts.groupBy("shard", "dupe", F.col("p.grp").alias("grp"))
-        .agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("p.lines").alias("lines")))).alias("parts"))
-        .select("shard", "dupe", "grp", F.flatten(F.col("parts.lines")).alias("lines"))
+        .agg(
+            F.max("p.target").alias("target"),
+            F.array_sort(F.collect_list(F.struct("doc_id", F.col("p.lines").alias("lines")))).alias("parts"),
+        )
+        .select("shard", "dupe", "grp", "target", F.flatten(F.col("parts.lines")).alias("lines"))
     )

@@ -38,7 +38,11 @@ def test_counts(df: DataFrame, label: str, test_share: float) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col(label).isNotNull())
     # one row per label
     everything = Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("total", F.sum("n").over(everything)).withColumn(
+    few = F.count("*").over(everything) <= MAX_LABELS
+    total = F.when(few, F.sum("n").over(everything)).otherwise(
+        F.raise_error(F.lit("too many distinct labels")).cast("bigint")
+    )
+    sizes = sizes.withColumn("total", total).withColumn(
         "n_test", F.ceil(F.col("total") * F.lit(test_share))
     )
     share = F.col("n") * F.col("n_test") / F.col("total")

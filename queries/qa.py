@@ -240,7 +240,8 @@ def unfindable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RE = "[!-/:-@\\[-`{-~\\pP]|[^\\s!-/:-@\\[-`{-~\\pP]+"
 # tokens of contexts, questions and answers
-TOKENS_SQL = (
+def tokens_sql(length: int, stride: int, max_query: int) -> str:
+    return (
     "WITH RECURSIVE"
     + PARTS["lines"]
     + ","
@@ -272,7 +273,7 @@ side_words AS (SELECT id, side, unnest(bs) AS word, unnest(range(len(bs))) AS bi
 side_tokens AS (
   SELECT id, side, flatten(list(toks ORDER BY bi)) AS toks FROM side_words JOIN pieces USING (word) GROUP BY id, side),
 full_q AS (
-  SELECT s.*, d.toks, d.tw, coalesce(q.toks, [])[1:16] AS query, coalesce(a.toks, []) AS wanted
+  SELECT s.*, d.toks, d.tw, coalesce(q.toks, [])[1:{max_query}] AS query, coalesce(a.toks, []) AS wanted
   FROM spanned s JOIN doc_tokens d USING (doc_id)
   LEFT JOIN side_tokens q ON q.id = s.id AND q.side = 'q' LEFT JOIN side_tokens a ON a.id = s.id AND a.side = 'a'),
 rough AS (
@@ -286,14 +287,17 @@ tight AS (
   FROM rough),
 token_spans AS (
   SELECT *, coalesce(hit, s0) AS tok_start, coalesce(hit + len(wanted) - 1, e0) AS tok_end,
-         128 - len(query) - 3 AS room FROM tight),
+         {length} - len(query) - 3 AS room FROM tight),
 windows AS (
-  SELECT *, win * 48 AS start, least(len(toks) - win * 48, room) AS plen
-  FROM (SELECT *, unnest(range((1 + greatest(0, ceil((len(toks) - room) / 48.0::DOUBLE)))::BIGINT)) AS win FROM token_spans))
+  SELECT *, win * {stride} AS start, least(len(toks) - win * {stride}, room) AS plen
+  FROM (SELECT *, unnest(range((1 + greatest(0, ceil((len(toks) - room) / {stride}.0::DOUBLE)))::BIGINT)) AS win FROM token_spans))
 """
 )
 
 
+TOKENS_SQL = tokens_sql(128, 48, 16)
+
+
 @query(
     "subtoken_spans",
     TOKENS_SQL + """SELECT id, len(toks)::BIGINT AS n_tokens, tok_start::BIGINT AS tok_start, tok_end::BIGINT AS tok_end

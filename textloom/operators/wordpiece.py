@@ -64,14 +64,14 @@ def _alone(char: str) -> bool:
     )
 
 
-def split_word(word: str) -> list[str]:
+def split_word(word: str, keep_special: bool = True) -> list[str]:
     """The same split as :func:`basic_tokens`, for one whitespace word."""
     if word.isascii() and word.isalnum():
         return [word]
     word = "".join(c for c in word if c != "\ufffd" and not unicodedata.category(c).startswith("C"))
     parts = []
-    for chunk in _SPECIAL_RE.split(word):
-        if chunk in _SPECIAL_SET:
+    for chunk in _SPECIAL_RE.split(word) if keep_special else [word]:
+        if keep_special and chunk in _SPECIAL_SET:
             parts.append(chunk)
         else:
             for alone, run in itertools.groupby(chunk, _alone):

@@ -245,9 +245,9 @@ scores AS (
 def _html_sql() -> str:
     out = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
     out = f"regexp_replace({out}, '<[/!?a-zA-Z][^>]*>', '', 'g')"
-    for name, char in (("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")):
+    for name, char in (("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", chr(160)), ("middot", "·")):
         out = f"replace({out}, '&{name};', '{char}')"
-    return out
+    return f"regexp_replace({out}, '&amp(;|\\b)', '&', 'g')"
 
 
 @query("normalise_answer", f"SELECT page_id, {_norm(_html_sql())} AS text FROM pages")

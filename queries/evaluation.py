@@ -16,6 +16,7 @@ from textloom.functions.text import char_f1, normalise_answer
 from textloom.operators import qa_features as qa
 from textloom.operators import qa_predict as pr
 from textloom.operators import qa_scores as sc
+from textloom.session import write_through
 
 WINDOWS = qa.WindowConfig(max_seq_length=64, doc_stride=24, max_query_length=8)
 PREDICT = pr.PredictConfig(n_best_size=5, max_answer_length=12, version_2_with_negative=True)
@@ -39,7 +40,8 @@ def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa.eval_features(question_set(spark, sf_dir), vocabulary(spark, sf_dir), WINDOWS, ["doc_id"])
+    """Feature table, written once: prediction reads it several times."""
+    return write_through(qa.eval_features(question_set(spark, sf_dir), vocabulary(spark, sf_dir), WINDOWS, ["doc_id"]))
 
 
 def results(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def scored_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     examples = rows.select("id", F.when(F.col("conv_id") % 5 == 2, F.slice(golds, 1, 0)).otherwise(golds).alias("answers"))
     predicted = (
         F.when(F.col("conv_id") % 7 == 1, F.lit(""))
-        .when(F.col("conv_id") % 3 == 0, F.concat(F.lit("《"), F.upper("text"), F.lit("》!")))
+        .when(F.col("conv_id") % 3 == 0, F.concat(F.lit("《"), F.translate("text", "aeiou", "AEIOU"), F.lit("》!")))
         .otherwise(F.col("asked"))
     )
     predictions = rows.where("conv_id % 13 <> 6").select(
@@ -218,7 +220,7 @@ TURNS_SQL = f"""pairs AS (
   WHERE g.role = 'assistant' AND a.role = 'user'),
 answers AS (
   SELECT *, CASE WHEN conv_id % 5 = 2 THEN [] ELSE [{_norm("text")}, {_norm("substr(text, 1, 25)")}] END AS raw_golds,
-         {_norm("CASE WHEN conv_id % 7 = 1 THEN '' WHEN conv_id % 3 = 0 THEN '《' || upper(text) || '》!' ELSE asked END")} AS pred,
+         {_norm("CASE WHEN conv_id % 7 = 1 THEN '' WHEN conv_id % 3 = 0 THEN '《' || translate(text, 'aeiou', 'AEIOU') || '》!' ELSE asked END")} AS pred,
          conv_id % 7 <> 1 AND (CASE WHEN conv_id % 3 = 0 THEN text ELSE asked END) <> '' AS answered,
          {seed(str(SEED), "'prob'", "conv_id || '-' || turn")} % 1000 / 1000.0::DOUBLE AS prob
   FROM pairs),

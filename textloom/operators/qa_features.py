@@ -172,32 +172,54 @@ def window_count(n_tokens: Column, room: Column, stride: int) -> Column:
 
 def max_context(window: Column, n_tokens: Column, room: Column, stride: int) -> Column:
     """For each token of a window, whether no other window gives it more context:
-    the score is ``min(left, right) + 0.01 * length``, the earliest window wins."""
-    n_windows = window_count(n_tokens, room, stride)
+    the score is ``min(left, right) + 0.01 * length``, the earliest window wins.
 
-    def flags(w: Column, total: Column, cap: Column, count: Column) -> Column:
-        length = lambda k: F.least(total - k * stride, cap)
+    Every window but the last has full length, so between full windows the one
+    with the nearest centre wins, which is a range of positions. Scores are only
+    computed where the last, shorter window takes part.
+    """
+    false, true = F.lit(False), F.lit(True)
+
+    def flags(w: Column, total: Column, cap: Column, last: Column) -> Column:
+        last_start, last_size = last * stride, total - last * stride
+        size = F.when(w == last, last_size).otherwise(cap)
+        low = F.when(w == 0, F.lit(0)).otherwise(F.floor((cap - 1 - stride) / 2).cast("int") + 1)
+        high = F.when(w + 1 < last, F.floor((cap - 1 + stride) / 2).cast("int")).otherwise(size - 1)
+        spots = F.sequence(F.lit(0), size - 1)
+        last_score = lambda p: F.least(p - last_start, total - 1 - p) + F.lit(0.01) * last_size
 
-        def score(k: Column, p: Column) -> Column:
-            left = p - k * stride
-            return F.least(left, length(k) - 1 - left) + F.lit(0.01) * length(k)
+        def full_score(k: Column, p: Column) -> Column:
+            return F.least(p - k * stride, k * stride + cap - 1 - p) + F.lit(0.01) * cap
 
-        def is_best(j: Column) -> Column:
+        def beats_last(j: Column) -> Column:
             p = w * stride + j
-            low = F.greatest(F.lit(0), F.ceil((p - cap + 1) / F.lit(stride)).cast("int"))
-            high = F.least(count - 1, F.floor(p / F.lit(stride)).cast("int"))
-            return let(
-                score(w, p),
-                lambda own: F.forall(
-                    F.sequence(low, high), lambda k: (k == w) | (score(k, p) < own) | ((score(k, p) == own) & (k > w))
-                ),
+            return (j >= low) & (j <= high) & ((p < last_start) | (full_score(w, p) >= last_score(p)))
+
+        def beats_full(j: Column) -> Column:
+            p = last_start + j
+            first = F.greatest(F.lit(0), F.ceil((p - cap + 1) / F.lit(stride)).cast("int"))
+            rivals = F.when(first < last, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))
+            return F.forall(rivals, lambda k: full_score(k, p) < last_score(p))
+
+        def span(lo: Column, hi: Column) -> Column:
+            return F.concat(
+                F.array_repeat(false, lo), F.array_repeat(true, hi - lo + 1), F.array_repeat(false, size - 1 - hi)
             )
 
-        return F.transform(F.sequence(F.lit(0), length(w) - 1), is_best)
+        return (
+            F.when(w == last, F.transform(spots, beats_full))
+            .when((last - w) * stride < cap, F.transform(spots, beats_last))
+            .otherwise(span(low, high))
+        )
 
     return let(
-        F.struct(window.alias("w"), n_tokens.alias("n"), room.alias("r"), n_windows.alias("c")),
-        lambda s: flags(s["w"], s["n"], s["r"], s["c"]),
+        F.struct(
+            window.alias("w"),
+            n_tokens.alias("n"),
+            room.alias("r"),
+            (window_count(n_tokens, room, stride) - 1).alias("last"),
+        ),
+        lambda s: flags(s["w"], s["n"], s["r"], s["last"]),
     )
 
 

@@ -137,7 +137,8 @@ def wordpiece(vocab: Vocabulary, max_remembered: int = 500_000):
                 known.clear()
             yield _pieces_of_batch(batch, known, match)
 
-    return pieces
+    # keeps the optimizer from copying the call into filters placed after it
+    return pieces.asNondeterministic()
 
 
 def tokenise_units(vocab: Vocabulary, units: Column) -> Column:

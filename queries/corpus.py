@@ -146,7 +146,7 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_long_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups far above the maximum are cut into chunks, others trimmed."""
     vocab = vocabulary(spark, sf_dir)
-    groups = _groups(spark, sf_dir).where("dupe = 0")
+    groups = _groups(spark, sf_dir)
     chunks = examples.chunk_segments(examples.split_segments(groups, CONFIG), CONFIG)
     return chunks.select(
         "shard",
@@ -157,14 +157,10 @@ def chunk_long_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def framed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = examples.chunk_segments(examples.split_segments(_groups(spark, sf_dir), CONFIG), CONFIG)
-    return examples.frame_segments(chunks, vocabulary(spark, sf_dir))
-
-
 def _with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = masking.token_kinds(F.col("ids"), vocabulary(spark, sf_dir).kinds(True))
-    return framed_examples(spark, sf_dir).where("dupe = 0").withColumn("words", masking.word_spans(kinds))
+    chunks = examples.chunk_segments(examples.split_segments(_groups(spark, sf_dir), CONFIG), CONFIG)
+    vocab = vocabulary(spark, sf_dir)
+    return examples.find_words(examples.frame_segments(chunks, vocab), vocab, CONFIG)
 
 
 def _span_text(xs) -> F.Column:
@@ -222,7 +218,7 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples.choose_masks(framed_examples(spark, sf_dir), vocabulary(spark, sf_dir), CONFIG)
+    return examples.masked_examples(_groups(spark, sf_dir), vocabulary(spark, sf_dir), CONFIG)
 
 
 @query(

@@ -147,15 +147,25 @@ def frame_segments(chunks: DataFrame, vocab: Vocabulary) -> DataFrame:
     return chunks.select(*EXAMPLE_KEYS, ids.alias("ids"), segment.alias("segments"))
 
 
-def choose_masks(framed: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:
-    """Add ``spans`` (what is masked), ``masked`` (position, label, new id) and
-    the budget; one seed per example drives all draws."""
+def replicate(rows: DataFrame, copies: int) -> DataFrame:
+    """``copies`` of every row, told apart by ``dupe``."""
+    if copies == 1:
+        return rows
+    others = [c for c in rows.columns if c != "dupe"]
+    return rows.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("dupe"), *others)
+
+
+def find_words(framed: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:
+    """Add ``words`` (maskable spans) and the masking ``budget``."""
+    kinds = masking.token_kinds(F.col("ids"), vocab.kinds(config.do_whole_word_mask))
+    budget = masking.mask_budget(F.size("ids"), config.masked_lm_prob, config.max_predictions_per_seq)
+    return framed.withColumn("words", masking.word_spans(kinds)).withColumn("budget", budget)
+
+
+def choose_masks(rows: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:
+    """Add ``spans`` (what is masked) and ``masked`` (position, label, new id); one
+    seed per example drives all draws."""
     keys = [F.col(k) for k in EXAMPLE_KEYS]
-    rows = framed.withColumn("kinds", masking.token_kinds(F.col("ids"), vocab.kinds(config.do_whole_word_mask)))
-    rows = rows.withColumn("words", masking.word_spans(F.col("kinds"))).drop("kinds")
-    rows = rows.withColumn(
-        "budget", masking.mask_budget(F.size("ids"), config.masked_lm_prob, config.max_predictions_per_seq)
-    )
     rows = rows.withColumn("select_seed", draws.seed(config.seed, "select", *keys))
     rows = rows.withColumn("corrupt_seed", draws.seed(config.seed, "corrupt", *keys))
     spans = masking.select_spans(config.max_ngram_size)(
@@ -183,7 +193,21 @@ def fixed_features(masked: DataFrame, vocab: Vocabulary, config: ExampleConfig)
     )
 
 
+def masked_examples(groups: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:
+    """Packed groups to framed examples with their masks.
+
+    Duplicates share everything that is not drawn, so rows are replicated after
+    the last shared step: already packed apart with short targets, before the
+    segments with pairs, else only before the masks are drawn.
+    """
+    copies = 1 if config.short_seq_prob > 0 else config.dupe_factor
+    early = copies if config.sentence_pair_prob > 0 else 1
+    groups = replicate(groups, early)
+    framed = frame_segments(chunk_segments(split_segments(groups, config), config), vocab)
+    words = replicate(find_words(framed, vocab, config), copies // early)
+    return choose_masks(words, vocab, config)
+
+
 def examples_from_groups(groups: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:
     """Packed groups of tokenised lines to fixed-length masked examples."""
-    framed = frame_segments(chunk_segments(split_segments(groups, config), config), vocab)
-    return fixed_features(choose_masks(framed, vocab, config), vocab, config)
+    return fixed_features(masked_examples(groups, vocab, config), vocab, config)

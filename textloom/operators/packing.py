@@ -165,8 +165,8 @@ def pack_lines(
     first line, the number of lines, and the target of the group where it starts
     here (0 where it only continues).
 
-    The packing is the same for every duplicate unless targets are drawn, so
-    without short targets one pass serves all of them.
+    Only drawn targets make the packing of duplicates differ: without them the
+    result holds one copy (``dupe`` 0), to be replicated as late as possible.
     """
     copies = dupe_factor if short_prob > 0 else 1
     docs = docs.select("shard", "doc_id", "lens").where(F.size("lens") > 0)
@@ -194,16 +194,7 @@ def pack_lines(
     entries = steps.groupBy("shard", "dupe").applyInPandas(
         _entry_states, "shard string, dupe int, block int, entry_missing bigint, entry_group bigint"
     )
-    packed = (
-        rows.join(entries, KEYS)
-        .groupBy(*KEYS)
-        .applyInPandas(_number_groups, RUN_SCHEMA)
-    )
-    if copies == dupe_factor:
-        return packed
-    return packed.drop("dupe").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(dupe_factor - 1))).alias("dupe"), "doc_id", "runs"
-    )
+    return rows.join(entries, KEYS).groupBy(*KEYS).applyInPandas(_number_groups, RUN_SCHEMA)
 
 
 def collect_groups(docs: DataFrame, packed: DataFrame) -> DataFrame:

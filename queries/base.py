@@ -40,10 +40,10 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the table is a single file that one task would
-    read alone; large tables have more files than that and are left as they are."""
+    """Rows over all cores when the table is so small that its scan has fewer tasks
+    than that; a large table has many more scan tasks and is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() > 2 * cores:
         return df
     return df.repartition(cores, key)
 

@@ -49,10 +49,13 @@ def test_corpus_to_examples_and_back(spark, vocab, tmp_path):
     for i in range(4):
         (tmp_path / "in" / f"f{i}.txt").write_text("That little blue truck.\nthe red boat\n" * (5 * i + 1))
     config = ex.ExampleConfig(max_seq_length=24, max_predictions_per_seq=4)
-    built = pretraining.pretraining_examples(corpus.read_corpus(spark, str(tmp_path / "in")), vocab, config)
     out = str(tmp_path / "out")
-    n = sinks.write_examples(built, out, n_files=3)
-    assert n == sinks.write_examples(built, out, n_files=3)  # replaced, not appended
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(vocab.tokens)], "token string, id int")
+    n = pretraining.build_examples(spark, str(tmp_path / "in"), table, out, config, n_files=3)
+    # replaced, not appended
+    assert n == pretraining.build_examples(spark, str(tmp_path / "in"), table, out, config, n_files=3)
+    batches = pretraining.training_batches(spark, out, config, 4, epoch=0).collect()
+    assert len(batches) == n // 4 * 4 and {r.slot for r in batches} == {0, 1, 2, 3}
     back = sinks.read_examples(spark, out, 24, 4)
     assert back.count() == n and dict(back.dtypes)["input_ids"] == "array<int>"
     with pytest.raises(Exception, match="must have 25 elements"):

@@ -63,6 +63,11 @@ def _block_steps(rows: pd.DataFrame) -> pd.DataFrame:
             missing[i], closed[i] = missing[end + 1], closed[end + 1] + 1
     # an open group misses at most max(target) tokens, so it closes on one of the first lines
     reach = int(np.searchsorted(before[:-1], rows["max_target"].iloc[0], side="left"))
+    upto, missing_after, closed_after = (np.array(x[1 : reach + 1], dtype=np.int64) for x in (before, missing, closed))
+    # groups soon fall into step, so neighbouring entries mostly lead to the same end
+    last = np.append(
+        np.flatnonzero((np.diff(missing_after) != 0) | (np.diff(closed_after) != 0)), len(upto) - 1
+    )
     first = rows.iloc[0]
     return pd.DataFrame(
         {
@@ -70,9 +75,9 @@ def _block_steps(rows: pd.DataFrame) -> pd.DataFrame:
             "dupe": [first["dupe"]],
             "block": [first["block"]],
             "total": [int(before[n])],
-            "upto": [before[1 : reach + 1]],
-            "missing": [np.array(missing[1 : reach + 1], dtype=np.int64)],
-            "closed": [np.array(closed[1 : reach + 1], dtype=np.int64)],
+            "upto": [upto[last]],
+            "missing": [missing_after[last]],
+            "closed": [closed_after[last]],
             "fresh_missing": [missing[0]],
             "fresh_closed": [closed[0]],
         }

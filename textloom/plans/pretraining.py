@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import examples, packing
+from textloom.operators import batching, examples, packing
 from textloom.operators.vocabulary import Vocabulary
 from textloom.operators.wordpiece import tokenise_units
 from textloom.session import write_through
+from textloom.sources.corpus import read_corpus
+from textloom.sources.sinks import read_examples, write_examples
 
 
 def tokenised_lines(lines: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -34,3 +36,27 @@ def pretraining_examples(
     packing, and as tokens for the examples."""
     tokens = write_through(tokenised_lines(lines, vocab))
     return examples.examples_from_groups(packed_groups(tokens, config, blocks), vocab, config)
+
+
+def build_examples(
+    spark: SparkSession,
+    input_dir: str,
+    vocab: DataFrame,
+    output_dir: str,
+    config: examples.ExampleConfig,
+    n_files: int = 1000,
+) -> int:
+    """From corpus files to example files; returns the number of examples."""
+    lines = read_corpus(spark, input_dir)
+    rows = pretraining_examples(lines, Vocabulary.from_table(vocab), config)
+    return write_examples(rows, output_dir, n_files)
+
+
+def training_batches(
+    spark: SparkSession, path: str, config: examples.ExampleConfig, batch_size: int, epoch: int, seed: int = 12345
+) -> DataFrame:
+    """Examples of an epoch in random order, in full batches: adds ``batch, slot``.
+    The key of an example is its content, equal examples being interchangeable."""
+    rows = read_examples(spark, path, config.max_seq_length, config.max_predictions_per_seq)
+    key = F.xxhash64("input_ids", "segment_ids", "masked_lm_positions", "masked_lm_ids")
+    return batching.shuffled_batches(rows, key, batch_size, epoch, seed)

@@ -96,13 +96,13 @@ def complete_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "candidate_spans",
     LOGITS_SQL
-    + """SELECT unique_id, count(*) AS n_spans, string_agg(s || '-' || e, ',' ORDER BY sk, ek) AS spans
-         FROM spans_ok GROUP BY unique_id""",
+    + """SELECT r.unique_id, count(o.s) AS n_spans, coalesce(string_agg(o.s || '-' || o.e, ',' ORDER BY o.sk, o.ek), '') AS spans
+         FROM results r LEFT JOIN spans_ok o ON o.unique_id = r.unique_id GROUP BY r.unique_id""",
 )
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid (start, end) pairs among the best starts and ends of a window."""
     windows = features(spark, sf_dir)
-    rows = pr.candidate_spans(windows, results(spark, sf_dir, windows), PREDICT).where(F.size("spans") > 0)
+    rows = pr.candidate_spans(windows, results(spark, sf_dir, windows), PREDICT)
     text = F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["last"]))
     return rows.select("unique_id", F.size("spans").cast("bigint").alias("n_spans"), F.array_join(text, ",").alias("spans"))
 

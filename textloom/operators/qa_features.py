@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions.arrays import let, pad_to
 from textloom.functions.text import byte_to_char, strip_tags, strip_unicode, word_at, words
 from textloom.operators.vocabulary import CLS, PAD, SEP, Vocabulary
-from textloom.operators.wordpiece import tokenise_units
+from textloom.operators.wordpiece import tokenise_units, tokenise_words
 
 QAS_TYPE = (
     "array<struct<id:string,question:string,is_impossible:boolean,"
@@ -103,7 +103,7 @@ def tokenise_paragraphs(paragraphs: DataFrame, vocab: Vocabulary, is_train: bool
     base = paragraphs.select(*keys, "context", F.col("qas").cast(QAS_TYPE).alias("qas"), words(F.col("context")).alias("words"))
     questions = tokenise_units(vocab, F.transform("qas", lambda q: q["question"]))
     answers = F.transform("qas", lambda q: F.coalesce(F.get(q["answers"], F.lit(0))["text"], F.lit("")))
-    base = base.withColumn("pieces", tokenise_units(vocab, F.col("words"))).withColumn("query", questions)
+    base = base.withColumn("pieces", tokenise_words(vocab, F.col("words"))).withColumn("query", questions)
     base = base.withColumn("wanted", tokenise_units(vocab, answers) if is_train else F.col("query"))
     per_word = F.transform("pieces", lambda p, i: F.array_repeat(i, F.size(p)))
     return base.select(

@@ -41,6 +41,8 @@ _SPECIAL = "|".join("".join("\\" + c if c in "[]" else c for c in t) for t in SP
 BASIC_PATTERN = f"({_SPECIAL}|[{_PUNCT}{_CJK}]|[^{_SPACE}{_PUNCT}{_CJK}]+)"
 _SPECIAL_SET = frozenset(SPECIAL_TOKENS.values())
 _SPECIAL_RE = re.compile(f"({_SPECIAL})")
+# The characters of _SPACE, for the Python side.
+_SPACE_RE = re.compile("[\t\n\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = "[\\p{C}\\x{FFFD}&&[^\\t\\n\\r]]"
 
 
@@ -65,10 +67,12 @@ def _alone(char: str) -> bool:
 
 
 def split_word(word: str, keep_special: bool = True) -> list[str]:
-    """The same split as :func:`basic_tokens`, for one whitespace word."""
+    """The same split as :func:`basic_tokens`, for one word or short text."""
     if word.isascii() and word.isalnum():
         return [word]
-    word = "".join(c for c in word if c != "\ufffd" and not unicodedata.category(c).startswith("C"))
+    word = "".join(c for c in word if c in "\t\n\r" or c != "\ufffd" and unicodedata.category(c)[0] != "C")
+    if _SPACE_RE.search(word):
+        return [part for w in _SPACE_RE.split(word) if w for part in split_word(w, keep_special)]
     parts = []
     for chunk in _SPECIAL_RE.split(word) if keep_special else [word]:
         if keep_special and chunk in _SPECIAL_SET:
@@ -146,6 +150,12 @@ def tokenise_units(vocab: Vocabulary, units: Column) -> Column:
     return wordpiece(vocab)(F.transform(units, whitespace_words))
 
 
+def tokenise_words(vocab: Vocabulary, words: Column) -> Column:
+    """Piece ids of each word of an array. The rare word with inner spaces is split
+    on the Python side, once per distinct word."""
+    return wordpiece(vocab)(F.transform(words, lambda w: F.array(w)))
+
+
 def tokenise_text(vocab: Vocabulary, text: Column) -> Column:
     """Piece ids of one text."""
     return wordpiece(vocab)(F.array(whitespace_words(text)))[0]

@@ -408,6 +408,25 @@ def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("batch").cast("bigint").alias("batch"), F.col("slot").cast("bigint").alias("slot"))
 
 
+@query(
+    "collate_batches",
+    f"""WITH ranked AS (
+          SELECT doc_id, len(text) AS n,
+                 row_number() OVER (ORDER BY {seed(str(SEED), "'shuffle'", "2", "doc_id")}, doc_id) - 1 AS r
+          FROM documents)
+        SELECT r // 16 AS batch, string_agg(doc_id, ',' ORDER BY r) AS doc_ids, string_agg(n, ',' ORDER BY r) AS lengths
+        FROM ranked GROUP BY r // 16 HAVING count(*) = 16""",
+)
+def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per batch of 16, columns as arrays in slot order."""
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.length("text").alias("n"))
+    rows = batching.shuffled_batches(docs, F.col("doc_id"), 16, epoch=2, seed=SEED)
+    out = batching.collate(rows, {"doc_id": "bigint", "n": "bigint"})
+    return out.select(
+        F.col("batch").cast("bigint").alias("batch"), joined("doc_id").alias("doc_ids"), joined("n").alias("lengths")
+    )
+
+
 @query(
     "pad_batches",
     """WITH padded AS (

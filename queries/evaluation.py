@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries.base import load, query, spread, vocabulary
 from queries.classification import rounded
-from queries.qa import paragraphs, tokens_sql
+from queries.qa import WORD_RE, paragraphs, tokens_sql
 from queries.sql import SEED, seed
 from textloom.functions import draws
 from textloom.functions.arrays import top_indexes
@@ -61,6 +61,7 @@ LOGITS_SQL = (
     + f""", wins AS (SELECT *, id || '_' || win AS unique_id, len(query) + 2 AS off FROM windows WHERE j = 0),
 results AS (
   SELECT w.unique_id, w.id, w.win, w.off, w.plen, w.tw, w.ws, w.start, w.doc_id,
+         w.toks[w.start + 1 : w.start + w.plen] AS wt,
          list_transform(e.embedding, lambda x: x::DOUBLE) AS sl, list_reverse(list_transform(e.embedding, lambda x: x::DOUBLE)) AS el
   FROM wins w JOIN embeddings e
     ON e.vec_id = {seed(str(SEED), "'vec'", "w.unique_id")} % (SELECT count(*) FROM embeddings)
@@ -113,9 +114,10 @@ NBEST_SQL = (
   SELECT id, min_by(sl[1], (sl[1] + el[1], win)) AS na, min_by(el[1], (sl[1] + el[1], win)) AS nb FROM results
   WHERE id IN (SELECT id FROM complete) GROUP BY id),
 every AS (
-  SELECT id, array_to_string(ws[tw[start + s - off + 1] + 1 : tw[start + e - off + 1] + 1], ' ') AS txt, a, b, win, sk, ek
+  SELECT id, array_to_string(ws[tw[start + s - off + 1] + 1 : tw[start + e - off + 1] + 1], ' ') AS txt, a, b, win, sk, ek,
+         array_to_string(wt[s - off + 1 : e - off + 1], ' ') AS ptxt
   FROM spans_ok WHERE id IN (SELECT id FROM complete)
-  UNION ALL SELECT id, '', na, nb, 1 << 30, 0, 0 FROM nulls),
+  UNION ALL SELECT id, '', na, nb, 1 << 30, 0, 0, '' FROM nulls),
 firsts AS (
   SELECT * FROM every
   QUALIFY row_number() OVER (PARTITION BY id, txt ORDER BY a + b DESC, win, sk, ek) = 1),
@@ -123,11 +125,11 @@ top_n AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY a + b DESC, win, sk, ek) AS r FROM firsts
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY a + b DESC, win, sk, ek) <= 5),
 with_null AS (
-  SELECT id, txt, a, b, r FROM top_n
-  UNION ALL SELECT id, '', na, nb, 100 FROM nulls WHERE id NOT IN (SELECT id FROM top_n WHERE txt = '')),
+  SELECT id, txt, a, b, r, ptxt FROM top_n
+  UNION ALL SELECT id, '', na, nb, 100, '' FROM nulls WHERE id NOT IN (SELECT id FROM top_n WHERE txt = '')),
 entries AS (
   SELECT * FROM with_null
-  UNION ALL SELECT id, 'empty', 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM with_null GROUP BY id HAVING count(*) = 1)"""
+  UNION ALL SELECT id, 'empty', 0.0::DOUBLE, 0.0::DOUBLE, 0, '' FROM with_null GROUP BY id HAVING count(*) = 1)"""
 )
 
 
@@ -158,22 +160,39 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.n_best(spans, qa.eval_examples(question_set(spark, sf_dir), ["doc_id"]), PREDICT)
 
 
-@query(
-    "null_decision",
+DECISION_SQL = (
     NBEST_SQL
-    + """, best AS (
-      SELECT id, min_by(txt, r) AS txt, min_by(a, r) AS a, min_by(b, r) AS b FROM entries WHERE txt <> '' GROUP BY id)
-    SELECT b.id, round(n.na + n.nb - b.a - b.b, 6) AS null_score_diff,
-           CASE WHEN n.na + n.nb - b.a - b.b > 0 OR b.txt = 'empty' THEN '' ELSE b.txt END AS text
-    FROM best b JOIN nulls n USING (id)""".replace(", best AS", ", best_entry AS").replace("FROM best b", "FROM best_entry b"),
+    + """, best_entry AS (
+  SELECT id, min_by(txt, r) AS txt, min_by(a, r) AS a, min_by(b, r) AS b, min_by(ptxt, r) AS ptxt
+  FROM entries WHERE txt <> '' GROUP BY id),
+decided AS (
+  SELECT b.id, round(n.na + n.nb - b.a - b.b, 6) AS null_score_diff, b.ptxt,
+         CASE WHEN n.na + n.nb - b.a - b.b > 0 OR b.txt = 'empty' THEN '' ELSE b.txt END AS text
+  FROM best_entry b JOIN nulls n USING (id))"""
 )
+
+
+@query("null_decision", DECISION_SQL + " SELECT id, null_score_diff, text FROM decided")
 def null_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer or no answer, by the null score."""
     rows = pr.decide(_ranked(spark, sf_dir), PREDICT)
     return rows.select("id", F.round("null_score_diff", 6).alias("null_score_diff"), "text")
 
 
-@query("qa_predictions")
+@query(
+    "qa_predictions",
+    DECISION_SQL
+    + f""", loose AS (
+      SELECT *, array_to_string(regexp_extract_all(text, '{WORD_RE}'), ' ') AS l,
+             trim(regexp_replace(replace(ptxt, ' ##', ''), '\\s+', ' ', 'g')) AS p FROM decided),
+    found AS (
+      SELECT *, instr(l, p) - 1 AS st, list_filter(range(len(text)), lambda i: text[i + 1] <> ' ') AS spots FROM loose),
+    marks AS (SELECT *, len(replace(substr(l, 1, st), ' ', '')) AS k, len(replace(p, ' ', '')) AS m FROM found)
+    SELECT id, null_score_diff,
+           CASE WHEN text = '' OR st < 0 OR len(spots) <> len(replace(l, ' ', '')) THEN text
+                ELSE substr(text, spots[k + 1] + 1, spots[k + m] - spots[k + 1] + 1) END AS text
+    FROM marks""",
+)
 def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole prediction job, answers trimmed to their tokens."""
     windows = features(spark, sf_dir)
@@ -355,3 +374,25 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions nobody answered."""
     return sc.missing_predictions(*scored_turns(spark, sf_dir))
+
+
+@query(
+    "question_report",
+    f"""WITH {TURNS_SQL}, {_best_sql("exact")}, {_best_sql("f1")},
+      base AS (SELECT count(*) FILTER (WHERE NOT has_answer) AS n0 FROM golds),
+      best AS (
+        SELECT 100 * greatest(n0, (SELECT max(run) FROM exact_runs)) / (SELECT count(*) FROM scores) AS be,
+               100 * greatest(n0, (SELECT max(run) FROM f1_runs)) / (SELECT count(*) FROM scores) AS bf FROM base)
+      SELECT 'HasAns_total' AS metric, count(*)::DOUBLE AS value FROM scores WHERE has_answer
+      UNION ALL SELECT 'NoAns_total', count(*)::DOUBLE FROM scores WHERE NOT has_answer
+      UNION ALL SELECT 'HasAns_exact', round(100 * avg(exact), 2) FROM scores WHERE has_answer
+      UNION ALL SELECT 'HasAns_f1', round(100 * avg(f1), 2) FROM scores WHERE has_answer
+      UNION ALL SELECT 'NoAns_exact', round(100 * avg(exact), 2) FROM scores WHERE NOT has_answer
+      UNION ALL SELECT 'best_exact', round(be, 2) FROM best
+      UNION ALL SELECT 'best_f1', round(bf, 2) FROM best
+      UNION ALL SELECT 'best_score', round(bf, 2) FROM best
+      UNION ALL SELECT 'missing', count(*)::DOUBLE FROM pairs WHERE conv_id % 13 = 6""",
+)
+def question_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation report with its best score."""
+    return sc.question_report(*scored_turns(spark, sf_dir), version_2=True)

@@ -238,7 +238,7 @@ def unfindable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", found.alias("found"))
 
 
-_RE = "[!-/:-@\\[-`{-~\\pP]|[^\\s!-/:-@\\[-`{-~\\pP]+"
+WORD_RE = "[!-/:-@\\[-`{-~\\pP]|[^\\s!-/:-@\\[-`{-~\\pP]+"
 # tokens of contexts, questions and answers
 def tokens_sql(length: int, stride: int, max_query: int) -> str:
     return (
@@ -251,7 +251,7 @@ def tokens_sql(length: int, stride: int, max_query: int) -> str:
     + ", "
     + QA_SQL
     + f""", extra_words AS (
-  SELECT unnest(regexp_extract_all(question || ' ' || coalesce(answer, ''), '{_RE}')) AS word FROM asked),"""
+  SELECT unnest(regexp_extract_all(question || ' ' || coalesce(answer, ''), '{WORD_RE}')) AS word FROM asked),"""
     + PARTS["pieces"].replace(
         "SELECT DISTINCT word FROM words", "SELECT word FROM words UNION SELECT word FROM extra_words"
     )
@@ -261,14 +261,14 @@ def tokens_sql(length: int, stride: int, max_query: int) -> str:
   SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS wi FROM spanned WHERE j = 0),
 doc_basic AS (
   SELECT doc_id, wi, unnest(bs) AS word, unnest(range(len(bs))) AS bi
-  FROM (SELECT *, regexp_extract_all(w, '{_RE}') AS bs FROM doc_ws)),
+  FROM (SELECT *, regexp_extract_all(w, '{WORD_RE}') AS bs FROM doc_ws)),
 doc_tokens AS (
   SELECT doc_id, flatten(list(toks ORDER BY wi, bi)) AS toks,
          flatten(list(list_transform(toks, lambda t: wi) ORDER BY wi, bi)) AS tw
   FROM doc_basic JOIN pieces USING (word) GROUP BY doc_id),
 side AS (
-  SELECT id, 'q' AS side, regexp_extract_all(question, '{_RE}') AS bs FROM asked
-  UNION ALL SELECT id, 'a', regexp_extract_all(coalesce(answer, ''), '{_RE}') FROM asked),
+  SELECT id, 'q' AS side, regexp_extract_all(question, '{WORD_RE}') AS bs FROM asked
+  UNION ALL SELECT id, 'a', regexp_extract_all(coalesce(answer, ''), '{WORD_RE}') FROM asked),
 side_words AS (SELECT id, side, unnest(bs) AS word, unnest(range(len(bs))) AS bi FROM side),
 side_tokens AS (
   SELECT id, side, flatten(list(toks ORDER BY bi)) AS toks FROM side_words JOIN pieces USING (word) GROUP BY id, side),

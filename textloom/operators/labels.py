@@ -17,7 +17,9 @@ SPLIT_BUCKETS = 4096
 def label_map(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, id)``: the distinct labels in sorted order, numbered from 0. Strings
     sort as strings, numbers as numbers; a label set is small, and checked to be."""
-    labels = df.select(F.col(label).alias("label")).distinct().agg(F.array_sort(F.collect_set("label")).alias("ls"))
+    # one more than allowed is enough to tell that there are too many
+    few = df.select(F.col(label).alias("label")).distinct().limit(MAX_LABELS + 1)
+    labels = few.agg(F.array_sort(F.collect_set("label")).alias("ls"))
     checked = F.when(F.size("ls") <= MAX_LABELS, F.col("ls")).otherwise(
         F.raise_error(F.lit("too many distinct labels")).cast(labels.schema["ls"].dataType)
     )

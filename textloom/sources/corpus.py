@@ -49,7 +49,8 @@ def _text_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def _zstd_documents(spark: SparkSession, folder: str, field: str) -> DataFrame:
     """Documents of ``*.jsonl.zst``, decompressed as a stream inside the task.
-    ``field`` holds a text or a list of texts."""
+    ``field`` holds a text or a list of texts. A compressed file is one row, so it
+    must stay below two gigabytes; its documents leave in small batches."""
     paths = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, sharding
+from textloom.llm import best_fit, sharding, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARD_BYTES = 1 << 20
+TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50_257, 2
 
 
 def query(name: str, sql: str | None = None):
@@ -64,3 +66,15 @@ def op9(spark, sf_dir):
     """The shard of every document."""
     docs = table(spark, sf_dir, "documents")
     return sharding.assign_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    """Documents as the files of their token ids have them."""
+    with open(public_tokenizers.path(TOKENIZER)) as file:
+        tokenizer = file.read()
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_ids(
+        docs, "doc_id", "text", tokenizer, VOCABULARY, END_ID, token_files.ids_folder(docs)
+    )
+    return token_files.document_checks(manifest).withColumnRenamed("key", "doc_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, sharding, token_files
+from textloom.llm import best_fit, sharding, simhash, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -78,3 +78,14 @@ def op10(spark, sf_dir):
         docs, "doc_id", "text", tokenizer, VOCABULARY, END_ID, token_files.ids_folder(docs)
     )
     return token_files.document_checks(manifest).withColumnRenamed("key", "doc_id")
+
+
+@query("op5_simhash")
+def op5(spark, sf_dir):
+    """The fingerprint of every document and the component it lies in."""
+    grouped = simhash.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return grouped.select(
+        F.col("key").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )

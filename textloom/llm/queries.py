@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, sharding, simhash, token_files
+from textloom.llm import best_fit, sharding, simhash, substrings, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -89,3 +89,10 @@ def op5(spark, sf_dir):
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    """What is left of every document without repeated passages."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kept.withColumnRenamed("key", "doc_id")

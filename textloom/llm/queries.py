@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, sharding, simhash, substrings, token_files
+from textloom.llm import best_fit, order_minhash, sharding, simhash, substrings, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -96,3 +96,10 @@ def op7(spark, sf_dir):
     """What is left of every document without repeated passages."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
     return kept.withColumnRenamed("key", "doc_id")
+
+
+@query("op8_order_minhash")
+def op8(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    compared = order_minhash.compare_with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return compared.withColumnRenamed("key", "doc_id")

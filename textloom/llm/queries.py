@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, order_minhash, sharding, simhash, substrings, token_files
+from textloom.llm import best_fit, language, order_minhash, sharding, simhash, substrings, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -103,3 +103,12 @@ def op8(spark, sf_dir):
     """Fingerprints of every document and of its edited text."""
     compared = order_minhash.compare_with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
     return compared.withColumnRenamed("key", "doc_id")
+
+
+@query("op2_language_codes")
+def op2(spark, sf_dir):
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.train(docs.where(~held_out), "text", "lang")
+    return language.predict(docs, "text", model, doc_id=F.col("doc_id"), held_out=held_out)

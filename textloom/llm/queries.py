@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, language, order_minhash, sharding, simhash, substrings, token_files
+from textloom.llm import best_fit, language, order_minhash, permutation_index, sharding, simhash, substrings, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -112,3 +112,11 @@ def op2(spark, sf_dir):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language.train(docs.where(~held_out), "text", "lang")
     return language.predict(docs, "text", model, doc_id=F.col("doc_id"), held_out=held_out)
+
+
+@query("op1_permutation_index")
+def op1(spark, sf_dir):
+    """The 20 nearest of every twentieth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = permutation_index.search(vectors, "vec_id", "embedding", F.col("id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, language, order_minhash, permutation_index, sharding, simhash, substrings, token_files
+from textloom.llm import best_fit, contextual_pii, language, order_minhash, permutation_index, sharding, simhash, substrings, token_files
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -120,3 +120,10 @@ def op1(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     found = permutation_index.search(vectors, "vec_id", "embedding", F.col("id") % 20 == 0)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op3_contextual_pii")
+def op3(spark, sf_dir):
+    """Personal data of every document."""
+    found = contextual_pii.report(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("key", "doc_id")

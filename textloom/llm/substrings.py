@@ -192,17 +192,21 @@ def repeated(rows: DataFrame) -> DataFrame:
     """``key, marks`` of the documents in ``rows`` (``key, text``) that lose words."""
     seeded = saved(rows.mapInArrow(_seeding, SEEDED))
     long_enough = seeded.where(F.col("n_words") >= WINDOW)
-    first = long_enough.groupBy("h1", "h2").agg(F.min("key").alias("first"))
+    # aggregates that meet many rows of one key are tables of their own, so that Spark
+    # can split such a key in the join
+    first = saved(long_enough.groupBy("h1", "h2").agg(F.min("key").alias("first")))
     judged = long_enough.join(first, ["h1", "h2"])
     tag = F.shiftleft(F.col("h1").bitwiseAND(0x7FFF), PLACE_BITS)
     copies = judged.where(F.col("key") > F.col("first")).select("key", tag.bitwiseOR(F.lit(WHOLE)).alias("mark"))
     seeds = saved(judged.where(F.col("key") == F.col("first")).select("key", F.explode("seeds").alias("seed")))
-    recurring = (
+    recurring = saved(
         seeds.groupBy("seed").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("seed")
     )
     phrases = seeds.join(recurring, "seed").groupBy("key").agg(F.collect_set("seed").alias("phrases"))
     windows = saved(rows.join(phrases, "key").select("key", "text", "phrases").mapInArrow(_locating, LOCATED))
-    source = windows.groupBy("w1", "w2").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    source = saved(
+        windows.groupBy("w1", "w2").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high")
+    )
     marks = windows.join(source, ["w1", "w2"]).where(F.col("key") > F.col("low")).select("key", "mark")
     return saved(copies.unionByName(marks).groupBy("key").agg(F.collect_list("mark").alias("marks")))
 

@@ -178,8 +178,9 @@ def _removing(with_text: bool):
                     pa.array(np.diff(bounds), pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(digests, pa.string()),
+                    *(c.slice(at, to - at) for c in batch.columns[3:]),
                 ]
-                names = ["key", "n_words", "n_removed", "kept_sha256"]
+                names = ["key", "n_words", "n_removed", "kept_sha256", *batch.schema.names[3:]]
                 if with_text:
                     columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
                     names.append("text")
@@ -211,9 +212,14 @@ def repeated(rows: DataFrame) -> DataFrame:
     return saved(copies.unionByName(marks).groupBy("key").agg(F.collect_list("mark").alias("marks")))
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` of every row, and ``text`` on request:
-    the kept words joined by one space, or the text as it was where none was removed."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
-    marked = rows.join(repeated(rows), "key", "left").select("key", "text", "marks")
-    return marked.mapInArrow(_removing(with_text), KEPT + (", text string" if with_text else ""))
+def remove_repeats(df: DataFrame, key: str, text: str, with_text: bool = False, kept: list[str] = ()) -> DataFrame:
+    """``key, n_words, n_removed, kept_sha256`` of every row, the columns ``kept``, and
+    ``text`` on request: the kept words joined by one space, or the text as it was where
+    none was removed."""
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"_{c}") for c in kept])
+    rows = rows.where(F.col("key").isNotNull())
+    marked = rows.join(repeated(rows.select("key", "text")), "key", "left")
+    marked = marked.select("key", "text", "marks", *[f"_{c}" for c in kept])
+    types = [f", `{n}` {t}" for n, t in marked.dtypes[3:]]
+    schema = KEPT + "".join(types) + (", text string" if with_text else "")
+    return marked.mapInArrow(_removing(with_text), schema).withColumnsRenamed({f"_{c}": c for c in kept})

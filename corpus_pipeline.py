@@ -25,7 +25,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     about as likely as not. A missing ``lang`` is filled in."""
     ship_package(spark)
     model = language.train(docs, "text", "lang")
-    told = language.predict(docs, "text", model, **{c: F.col(c) for c in docs.columns})
+    told = language.predict(docs, "text", model, {c: F.col(c) for c in docs.columns})
     kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

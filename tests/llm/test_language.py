@@ -57,13 +57,13 @@ def test_defined_results(spark, monkeypatch):
     model = language.train(df, "text", "lang")
     for part in (1 << 20, 1000):
         monkeypatch.setattr(language, "PART", part)
-        out = {r["id"]: r for r in language.predict(df, "text", model, id=F.col("id")).collect()}
+        out = {r["id"]: r for r in language.predict(df, "text", model, {"id": F.col("id")}).collect()}
         assert [out[i]["lang_pred"] for i in range(8)][:6] == ["und", "und", "und", "en", "de", "en"]
         assert out[7]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in out.values())
         assert [out[i]["score"] for i in range(3)] == [0, 0, 0]
-    none = language.predict(df, "text", language.train(df.limit(0), "text", "lang"), id=F.col("id")).collect()
+    none = language.predict(df, "text", language.train(df.limit(0), "text", "lang"), {"id": F.col("id")}).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
-    assert language.predict(df.limit(0), "text", model, id=F.col("id")).count() == 0
+    assert language.predict(df.limit(0), "text", model, {"id": F.col("id")}).count() == 0
 
 
 def test_a_mix_of_two_languages_is_ambiguous(spark):
@@ -71,7 +71,7 @@ def test_a_mix_of_two_languages_is_ambiguous(spark):
     a = " ".join(rng.choices("ab bc cd de".split(), k=500))
     b = " ".join(rng.choices("vw wx xy yz".split(), k=500))
     df = spark.createDataFrame([(0, a, "one"), (1, b, "two"), (2, a + " " + b, None)], "id long, text string, lang string")
-    out = {r["id"]: r for r in language.predict(df, "text", language.train(df, "text", "lang"), id=F.col("id")).collect()}
+    out = {r["id"]: r for r in language.predict(df, "text", language.train(df, "text", "lang"), {"id": F.col("id")}).collect()}
     assert out[2]["ambiguous"] and not out[0]["ambiguous"] and not out[1]["ambiguous"]
 
 

@@ -212,9 +212,12 @@ def _predicting(model: Model | None):
     return run
 
 
-def predict(df: DataFrame, text: str, model: Model | None, **kept: Column) -> DataFrame:
+def predict(df: DataFrame, text: str, model: Model | None, kept: dict[str, Column]) -> DataFrame:
     """The columns ``kept`` of every row with ``lang_pred, score, ambiguous``."""
-    rows = df.select(F.col(text), *[c.alias(n) for n, c in kept.items()])
+    read = "_text"
+    while read in kept:
+        read += "_"
+    rows = df.select(F.col(text).alias(read), *[c.alias(n) for n, c in kept.items()])
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
     added = "lang_pred string, score double, ambiguous boolean"
     return rows.mapInArrow(_predicting(model), f"{schema}, {added}" if schema else added)

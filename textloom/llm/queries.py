@@ -111,7 +111,7 @@ def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language.train(docs.where(~held_out), "text", "lang")
-    return language.predict(docs, "text", model, doc_id=F.col("doc_id"), held_out=held_out)
+    return language.predict(docs, "text", model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
 @query("op1_permutation_index")

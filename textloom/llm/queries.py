@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import best_fit, contextual_pii, language, order_minhash, permutation_index, sharding, simhash, substrings, token_files
+from textloom.llm import (
+    best_fit,
+    contextual_pii,
+    language,
+    order_minhash,
+    permutation_index,
+    pieces,
+    sharding,
+    simhash,
+    substrings,
+    token_files,
+)
 from textloom.llm.tables import word_count
 from textloom.session import ship_package
 
@@ -16,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARD_BYTES = 1 << 20
+PIECES = "piece_bpe_32k.model"
 TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50_257, 2
 
 
@@ -127,3 +139,10 @@ def op3(spark, sf_dir):
     """Personal data of every document."""
     found = contextual_pii.report(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.withColumnRenamed("key", "doc_id")
+
+
+@query("op6_sentencepiece")
+def op6(spark, sf_dir):
+    """Every document encoded and decoded again."""
+    model = pieces.Pieces.from_file(public_tokenizers.path(PIECES))
+    return pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", model).withColumnRenamed("key", "doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import clean_lines
 from textloom.operators.vocabulary import Vocabulary, build_vocabulary
-from textloom.session import ship_package
+from textloom.session import REPARTITION, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,17 +39,15 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the table is so small that its scan has fewer tasks
-    than that; a large table has many more scan tasks and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 2 * cores:
-        return df
-    return df.repartition(cores, key)
+def given(df: DataFrame, key: str) -> DataFrame:
+    """A table as its scan gives it, or dealt out by ``key`` where the session asks for
+    that: files of one row group are one task however many cores there are."""
+    parts = df.sparkSession.conf.get(REPARTITION, None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "documents", *columns), "doc_id")
+    return given(load(spark, sf_dir, "documents", *columns), "doc_id")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,16 +120,26 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread_embeddings(spark, sf_dir)
-    return rows.select("vec_id", argmax(F.slice("embedding", 1, 10)).alias("prediction"), "label")
+    rows = vectors(spark, sf_dir)
+    return rows.select("vec_id", argmax(F.transform(F.sequence(F.lit(0), F.lit(9)), every_nth(10))).alias("prediction"), "label")
 
 
-def spread_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_nth(n: int):
+    """Sums over the whole vector of the positions k, k + n, k + 2n, …"""
+    return lambda k: F.aggregate(
+        F.filter("embedding", lambda _, i: i % n == k), F.lit(0.0), lambda a, x: a + x.cast("double")
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
 
 
 CLASS_SQL = """results AS (
-  SELECT vec_id, label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS prediction FROM embeddings)"""
+  SELECT vec_id, label, list_position(s, list_max(s)) - 1 AS prediction
+  FROM (SELECT vec_id, label, list_transform(range(10), lambda k:
+          list_sum(list_transform(list_filter(range(64), lambda i: i % 10 = k), lambda i: embedding[i + 1]::DOUBLE))) AS s
+        FROM embeddings))"""
 
 
 @query(
@@ -174,7 +184,8 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
          SELECT batch, sum(CASE WHEN predicted = label THEN w ELSE 0 END) AS hit, sum(w) AS w, sum(-w * lp) AS nll
          FROM positions GROUP BY batch),
        ns AS (
-         SELECT vec_id // 16 AS batch, label % 2 AS label, -abs(embedding[1])::DOUBLE AS l0, -abs(embedding[2])::DOUBLE AS l1
+         SELECT vec_id // 16 AS batch, label % 2 AS label, -abs(list_sum(list_transform(range(32), lambda i: embedding[2 * i + 1]::DOUBLE))) AS l0,
+                -abs(list_sum(list_transform(range(32), lambda i: embedding[2 * i + 2]::DOUBLE))) AS l1
          FROM embeddings),
        nsb AS (
          SELECT batch, sum(((CASE WHEN l0 >= l1 THEN 0 ELSE 1 END) = label)::INT) AS hit, count(*) AS n,
@@ -186,7 +197,7 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mlm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked-token and next-sentence metrics; vectors stand in for log-probabilities."""
-    rows = spread_embeddings(spark, sf_dir)
+    rows = vectors(spark, sf_dir)
     batch = F.floor(F.col("vec_id") / 16).alias("batch")
     spots = F.sequence(F.lit(0), F.lit(63))
     masked = rows.select(
@@ -199,7 +210,7 @@ def mlm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rows.select(
         batch,
         (F.col("label") % 2).alias("label"),
-        F.transform(F.slice("embedding", 1, 2), lambda x: -F.abs(x).cast("double")).alias("log_probs"),
+        F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: -F.abs(every_nth(2)(k))).alias("log_probs"),
     )
     left = metrics.masked_lm_metrics(masked, "batch").withColumn("k", F.lit(0))
     right = metrics.next_sentence_metrics(pairs, "batch").withColumn("k", F.lit(0))

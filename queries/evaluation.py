@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.base import load, query, spread, vocabulary
+from queries.base import given, load, query, vocabulary
 from queries.classification import rounded
 from queries.qa import WORD_RE, paragraphs, tokens_sql
 from queries.sql import SEED, seed
@@ -36,7 +36,7 @@ def top_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(spark, sf_dir).withColumn("qas", qa.first_question(F.col("qas")))
+    return paragraphs(spark, sf_dir)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def results(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
 
 LOGITS_SQL = (
     tokens_sql(64, 24, 8)
-    + f""", wins AS (SELECT *, id || '_' || win AS unique_id, len(query) + 2 AS off FROM windows WHERE j = 0),
+    + f""", wins AS (SELECT *, id || '_' || win AS unique_id, len(query) + 2 AS off FROM windows),
 results AS (
   SELECT w.unique_id, w.id, w.win, w.off, w.plen, w.tw, w.ws, w.start, w.doc_id,
          w.toks[w.start + 1 : w.start + w.plen] AS wt,
@@ -70,9 +70,9 @@ complete AS (
   SELECT w.id FROM (SELECT id, count(*) AS n FROM wins GROUP BY id) w
   JOIN (SELECT id, count(*) AS n FROM results GROUP BY id) r ON r.id = w.id AND r.n = w.n),
 cells AS (
-  SELECT doc_id, win, unnest(range(plen)) AS i, start, plen FROM wins),
+  SELECT id, win, unnest(range(plen)) AS i, start, plen FROM wins),
 cell_best AS (
-  SELECT doc_id, win, i, row_number() OVER (PARTITION BY doc_id, start + i
+  SELECT id, win, i, row_number() OVER (PARTITION BY id, start + i
            ORDER BY least(i, plen - 1 - i) + 0.01::DOUBLE * plen DESC, win) = 1 AS flag FROM cells),
 ranked_starts AS (
   SELECT r.*, unnest(list_sort(list_transform(range(64), lambda i: {{'v': -sl[i + 1], 'i': i}}))[1:5]).i AS s,
@@ -82,7 +82,7 @@ ranked_pairs AS (
          unnest(range(5)) AS ek FROM ranked_starts),
 spans_ok AS (
   SELECT p.*, sl[s + 1] AS a, el[e + 1] AS b FROM ranked_pairs p
-  JOIN cell_best c ON c.doc_id = p.doc_id AND c.win = p.win AND c.i = p.s - p.off AND c.flag
+  JOIN cell_best c ON c.id = p.id AND c.win = p.win AND c.i = p.s - p.off AND c.flag
   WHERE s >= off AND s < off + plen AND e >= off AND e < off + plen AND e >= s AND e - s + 1 <= 12)"""
 )
 
@@ -207,12 +207,12 @@ def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Assistant turns as gold answers; predictions are the same text in another
     form, the user's turn, or nothing."""
-    turns = spread(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id")
+    turns = given(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id")
     gold = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
     asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
     rows = gold.join(asked, ["conv_id", "turn"]).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     answer = lambda t: F.struct(t.alias("text"))
-    golds = F.array(answer(F.col("text")), answer(F.substring("text", 1, 25)), answer(F.lit(" ,.")))
+    golds = F.array(answer(F.col("text")), answer(F.substring_index("text", " ", -3)), answer(F.lit(" ,.")))
     examples = rows.select("id", F.when(F.col("conv_id") % 5 == 2, F.slice(golds, 1, 0)).otherwise(golds).alias("answers"))
     predicted = (
         F.when(F.col("conv_id") % 7 == 1, F.lit(""))
@@ -238,7 +238,7 @@ TURNS_SQL = f"""pairs AS (
   FROM conversations g JOIN conversations a ON a.conv_id = g.conv_id AND a.turn + 1 = g.turn
   WHERE g.role = 'assistant' AND a.role = 'user'),
 answers AS (
-  SELECT *, CASE WHEN conv_id % 5 = 2 THEN [] ELSE [{_norm("text")}, {_norm("substr(text, 1, 25)")}] END AS raw_golds,
+  SELECT *, CASE WHEN conv_id % 5 = 2 THEN [] ELSE [{_norm("text")}, {_norm("array_to_string(string_split(text, ' ')[-3:], ' ')")}] END AS raw_golds,
          {_norm("CASE WHEN conv_id % 7 = 1 THEN '' WHEN conv_id % 3 = 0 THEN '《' || translate(text, 'aeiou', 'AEIOU') || '》!' ELSE asked END")} AS pred,
          conv_id % 7 <> 1 AND (CASE WHEN conv_id % 3 = 0 THEN text ELSE asked END) <> '' AS answered,
          {seed(str(SEED), "'prob'", "conv_id || '-' || turn")} % 1000 / 1000.0::DOUBLE AS prob
@@ -274,7 +274,7 @@ def _html_sql() -> str:
 @query("normalise_answer", f"SELECT page_id, {_norm(_html_sql())} AS text FROM pages")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages through answer normalisation."""
-    pages = spread(load(spark, sf_dir, "pages", "page_id", "html"), "page_id")
+    pages = given(load(spark, sf_dir, "pages", "page_id", "html"), "page_id")
     return pages.select("page_id", normalise_answer(F.col("html")).alias("text"))
 
 
@@ -299,7 +299,7 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def character_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character overlap of a turn and the answer to it."""
-    turns = spread(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id")
+    turns = given(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id")
     gold = turns.where("role = 'assistant'").select("conv_id", "turn", normalise_answer(F.col("text")).alias("a"))
     asked = turns.where("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), normalise_answer(F.col("text")).alias("b")

@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.base import documents, load, query, spread, vocabulary
+from queries.base import documents, given, load, query, vocabulary
 from queries.sql import PARTS, SEED, seed
 from textloom.functions import draws
 from textloom.functions import text as txt
 from textloom.operators import qa_features as qa
+from textloom.sources.qa import of_language
 
 CONFIG = qa.WindowConfig(max_seq_length=128, doc_stride=48, max_query_length=16)
 
@@ -27,7 +28,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         answers = F.array(F.struct(answer.alias("text"), start.cast("int").alias("answer_start")))
         return F.struct(
             F.concat_ws("-", "doc_id", j).alias("id"),
-            F.substring("text", 1, 60).alias("question"),
+            F.substring_index("text", "\n", 1).alias("question"),
             (kind % 7 == 3).alias("is_impossible"),
             F.when(kind % 7 == 3, F.slice(answers, 1, 0)).otherwise(answers).alias("answers"),
         )
@@ -39,7 +40,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QA_SQL = f"""questions AS (
-  SELECT doc_id, j, doc_id || '-' || j AS id, text AS context, substr(text, 1, 60) AS question,
+  SELECT doc_id, j, doc_id || '-' || j AS id, text AS context, split_part(text, chr(10), 1) AS question,
          (doc_id + j) % 7 = 3 AS is_impossible,
          {seed(str(SEED), "'qa-start'", "doc_id", "j")} % len(text) AS raw_start,
          CASE WHEN (doc_id + j) % 11 = 5 THEN 'zz' ELSE '' END
@@ -113,7 +114,7 @@ def _strip_sql(x: str) -> str:
 @query("strip_tags", f"SELECT page_id, {_strip_sql('html')} AS text FROM pages")
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare markup out of whole pages."""
-    pages = spread(load(spark, sf_dir, "pages", "page_id", "html"), "page_id")
+    pages = given(load(spark, sf_dir, "pages", "page_id", "html"), "page_id")
     return pages.select("page_id", txt.strip_tags(F.col("html")).alias("text"))
 
 
@@ -125,7 +126,7 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def answer_offset_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer starts moved by the markup removed before them."""
-    pages = spread(load(spark, sf_dir, "pages", "page_id", "html"), "page_id")
+    pages = given(load(spark, sf_dir, "pages", "page_id", "html"), "page_id")
     start = draws.seed(SEED, "page", F.col("page_id")) % F.length("html")
     rows = pages.select("page_id", "html", start.cast("int").alias("at"))
     shifted = qa.shift_answer(F.col("html"), F.col("at"))
@@ -138,7 +139,7 @@ BYTES_SQL = f"""spans AS (
          1 + {seed(str(SEED), "'bytes'", "doc_id", "i")} % 30 AS n,
          CASE WHEN {seed(str(SEED), "'yes'", "doc_id", "i")} % 10 = 0 THEN 'YES' ELSE 'NONE' END AS yes_no,
          {seed(str(SEED), "'none'", "doc_id", "i")} % 3 = 0 AS none
-  FROM documents, (SELECT unnest([0, 1]) AS i) WHERE lang <> 'en')"""
+  FROM documents, (SELECT unnest([0, 1]) AS i))"""
 
 
 @query(
@@ -159,8 +160,8 @@ def byte_to_char(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-English documents with two byte-offset annotations each."""
-    docs = documents(spark, sf_dir, "doc_id", "lang", "text").where("lang <> 'en'")
+    """Documents with two byte-offset annotations each."""
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text")
 
     def annotation(i):
         key = F.col("doc_id")
@@ -178,7 +179,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(draws.seed(SEED, "yes", key, i) % 10 == 0, F.lit("YES")).otherwise(F.lit("NONE")).alias("yes_no_answer"),
         )
 
-    return docs.select("doc_id", "text", F.transform(F.sequence(F.lit(0), F.lit(1)), annotation).alias("annotations"))
+    return docs.select("doc_id", "lang", "text", F.transform(F.sequence(F.lit(0), F.lit(1)), annotation).alias("annotations"))
 
 
 @query(
@@ -187,11 +188,12 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, count(*) FILTER (WHERE NOT none) = 0 AS is_impossible,
                coalesce(string_agg(c0 || ':' || substr(text, (c0 + 1)::BIGINT, n::BIGINT), '|' ORDER BY i) FILTER (WHERE NOT none), '')
                  AS answers
-        FROM spans GROUP BY doc_id HAVING count(*) FILTER (WHERE yes_no <> 'NONE') = 0""",
+        FROM spans WHERE lower(trim(lang)) = 'fr'
+        GROUP BY doc_id HAVING count(*) FILTER (WHERE yes_no <> 'NONE') = 0""",
 )
 def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yes/no questions are skipped; no span answer left means impossible."""
-    rows = annotated(spark, sf_dir)
+    """One language; yes/no questions are skipped; no span answer left means impossible."""
+    rows = annotated(spark, sf_dir).where(of_language(F.col("lang"), "fr"))
     kept, answers = qa.byte_annotation_answers(F.col("text"), F.col("annotations"))
     rows = rows.where(kept).select("doc_id", answers.alias("answers"))
     text = F.transform("answers", lambda a: F.concat_ws(":", a["answer_start"], a["text"]))
@@ -337,18 +339,17 @@ def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "max_context",
     TOKENS_SQL
     + """, cells AS (
-           SELECT doc_id, win, unnest(range(plen)) + start AS p, start, plen FROM windows WHERE j = 0),
+           SELECT id, win, unnest(range(plen)) + start AS p, start, plen FROM windows),
          scored AS (
            SELECT *, least(p - start, start + plen - 1 - p) + 0.01::DOUBLE * plen AS score FROM cells),
          flagged AS (
-           SELECT *, row_number() OVER (PARTITION BY doc_id, p ORDER BY score DESC, win) = 1 AS flag FROM scored)
-         SELECT doc_id || '-0_' || win AS unique_id, string_agg(CASE WHEN flag THEN '1' ELSE '0' END, '' ORDER BY p) AS flags
-         FROM flagged GROUP BY doc_id, win""",
+           SELECT *, row_number() OVER (PARTITION BY id, p ORDER BY score DESC, win) = 1 AS flag FROM scored)
+         SELECT id || '_' || win AS unique_id, string_agg(CASE WHEN flag THEN '1' ELSE '0' END, '' ORDER BY p) AS flags
+         FROM flagged GROUP BY id, win""",
 )
 def max_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The window that gives each token most context, for first questions."""
-    rows = paragraphs(spark, sf_dir).withColumn("qas", qa.first_question(F.col("qas")))
-    out = qa.eval_features(rows, vocabulary(spark, sf_dir), CONFIG, ["doc_id"])
+    """The window that gives each token most context."""
+    out = qa.eval_features(paragraphs(spark, sf_dir), vocabulary(spark, sf_dir), CONFIG, ["doc_id"])
     flags = F.transform("token_is_max_context", lambda b: F.when(b, F.lit("1")).otherwise(F.lit("0")))
     return out.select("unique_id", F.array_join(flags, "").alias("flags"))
 

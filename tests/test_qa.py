@@ -217,7 +217,6 @@ def test_incomplete_questions_are_left_out(spark):
     f = spark.createDataFrame([("a_b", "a_b_0"), ("a_b", "a_b_1"), ("c", "c_0")], "id string, unique_id string")
     r = spark.createDataFrame([("a_b_0",), ("c_0",), ("c_0",)], "unique_id string")
     assert [x.id for x in pr.complete_questions(f, r).collect()] == ["c"]
-    assert {x.q for x in f.select(pr.question_id(F.col("unique_id")).alias("q")).collect()} == {"a_b", "c"}
 
 
 @pytest.mark.parametrize(

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -8,19 +9,18 @@ from textloom.plans import pretraining, registry
 from textloom.sources import corpus, labelled, qa, sinks
 
 
-def test_corpus_text_and_zstd(spark, tmp_path):
-    zstandard = pytest.importorskip("zstandard")
+def test_corpus_text_and_json_lines(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("one\n\n  two \n\nthree　\n", encoding="utf-8")
-    docs = [{"text": "solo"}, {"text": ["p\nq", " ", "r "]}]
-    raw = "\n".join(json.dumps(d) for d in docs).encode()
-    (tmp_path / "b.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(raw))
+    docs = [{"text": "solo"}, {"text": ["p\nq", " ", "r "]}, "bare"]
+    raw = "\n\n".join(json.dumps(d) for d in docs).encode()
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress(raw))
     (tmp_path / "c.pdf").write_text("no")
     rows = corpus.read_corpus(spark, str(tmp_path)).orderBy("shard", "doc_id").collect()
     by_file = {}
     for r in rows:
         by_file.setdefault(r.shard.rsplit("/", 1)[1], []).extend(r.lines)
-    assert by_file == {"x.txt": ["one", "two", "three"], "b.jsonl.zst": ["solo", "p q", "r"]}
+    assert by_file == {"x.txt": ["one", "two", "three"], "b.jsonl.gz": ["solo", "p q", "r", "bare"]}
     assert [r.path.rsplit("/", 1)[1] for r in corpus.skipped_files(spark, str(tmp_path)).collect()] == ["c.pdf"]
 
 
@@ -56,6 +56,7 @@ def test_corpus_to_examples_and_back(spark, vocab, tmp_path):
     assert n == pretraining.build_examples(spark, str(tmp_path / "in"), table, out, config, n_files=3)
     batches = pretraining.training_batches(spark, out, config, 4, epoch=0).collect()
     assert len(batches) == n // 4 * 4 and {r.slot for r in batches} == {0, 1, 2, 3}
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 3
     back = sinks.read_examples(spark, out, 24, 4)
     assert back.count() == n and dict(back.dtypes)["input_ids"] == "array<int>"
     with pytest.raises(Exception, match="must have 25 elements"):
@@ -166,9 +167,14 @@ def test_qa_registry_job(spark, vocab, tmp_path):
 def test_results_and_metrics_round_trip(spark, tmp_path):
     part = spark.createDataFrame([("a_0", [1.0], [2.0])], "unique_id string, start_logits array<double>, end_logits array<double>")
     path = str(tmp_path / "results")
-    sinks.write_results(part, path)
-    sinks.write_results(part.withColumn("unique_id", F.lit("a_1")), path)
-    assert {r.unique_id for r in sinks.read_results(spark, path).collect()} == {"a_0", "a_1"}
+    sinks.write_results(part.withColumn("unique_id", F.lit("old")), path, 3)
+    sinks.write_results(part, path, 3)
+    sinks.write_results(part.withColumn("unique_id", F.lit("a_1")), path, 3, part=1)
+    sinks.write_results(part.withColumn("unique_id", F.lit("other")), path, 4)
+    assert {r.unique_id for r in sinks.read_results(spark, path, 3).collect()} == {"a_0", "a_1"}
+    sinks.clear_results(spark, path, 3)
+    assert not (tmp_path / "results" / "step=3").exists()
+    assert {r.unique_id for r in sinks.read_results(spark, path, 4).collect()} == {"other"}
     report = spark.createDataFrame([("f1", 1.0), ("accuracy", 2.0)], "metric string, value double")
     sinks.write_metrics(report, str(tmp_path / "metrics"), 3)
     assert [r.metric for r in spark.read.parquet(str(tmp_path / "metrics") + "/step=3").collect()] == ["accuracy", "f1"]

@@ -85,7 +85,7 @@ def clean_lines(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace words of a context."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
 
 def word_at(text: Column, char_index: Column) -> Column:

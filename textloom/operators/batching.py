@@ -60,8 +60,3 @@ def pad_for_devices(df: DataFrame, order: str, batch_size: int, devices: int) ->
     padding = head.select(F.explode(F.array_repeat(F.struct(first.alias("row")), times)).alias("p"))
     padding = padding.select(*[F.col(f"p.row.{c}").alias(c) for c in names], F.lit(True).alias("is_pad"))
     return df.withColumn("is_pad", F.lit(False)).unionByName(padding)
-
-
-def drop_padding(df: DataFrame, key: str) -> DataFrame:
-    """One row per key, whatever padding repeated."""
-    return df.dropDuplicates([key])

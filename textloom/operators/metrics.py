@@ -35,10 +35,6 @@ def _binary_columns() -> dict[str, Column]:
     }
 
 
-BINARY_METRICS = _binary_columns
-MULTI_METRICS = ("accuracy", "f1-macro")
-
-
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row of binary metrics; the positive label is 1, empty denominators give 0."""
     pos, pred = F.col("label") == 1, F.col("prediction") == 1
@@ -127,11 +123,6 @@ def next_sentence_metrics(df: DataFrame, batch: str) -> DataFrame:
     )
 
 
-def replica_mean_loss(df: DataFrame, loss: str = "loss") -> DataFrame:
-    """Mean loss over replicas."""
-    return df.agg(F.avg(loss).alias("loss"))
-
-
 def saved_checkpoints(log: DataFrame, run: str, order: list[str], score: str) -> DataFrame:
     """Rows of an evaluation log at which a checkpoint is saved: the score reaches
     the best so far (0 at the start, later rows win ties).

@@ -128,13 +128,6 @@ class Vocabulary:
         ids = [i for i, t in enumerate(self.tokens) if not (t.startswith("[unused") and t.endswith("]"))]
         return literal_array(ids), len(ids)
 
-    def encode(self, tokens: Column) -> Column:
-        """Token strings to ids (unknown tokens to the unknown id). The lookup
-        goes through a sorted constant array in O(1) per hash-free position, so
-        it suits short arrays such as questions and labels."""
-        table = F.map_from_arrays(F.array(*[F.lit(t) for t in self.tokens]), literal_array(range(len(self.tokens))))
-        return F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), F.lit(self.ids[UNK])))
-
     def decode(self, ids: Column) -> Column:
         """Ids to token strings through a constant array."""
         table = F.split(F.lit("\n".join(self.tokens)), "\n")

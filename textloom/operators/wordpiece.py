@@ -53,7 +53,7 @@ def basic_tokens(text: Column) -> Column:
 
 def whitespace_words(text: Column) -> Column:
     """Whitespace words of one text, the units that are encoded."""
-    return F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{_SPACE}]+"), lambda w: w != "")
 
 
 def _alone(char: str) -> bool:

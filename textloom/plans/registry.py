@@ -50,6 +50,8 @@ def classification_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Encoded rows and the label map. Validation reuses the map of the training
     side; a label it does not hold is an error."""
+    if labels is None and not is_train:
+        raise ValueError("validation data needs the label map of the training data")
     rows = CLS_READERS[config.dataset](spark, path, is_train, seed=config.seed)
     labels = labels if labels is not None else lab.label_map(rows)
     return lab.encode_labels(rows, labels), labels

@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session option: deal small input tables out over so many tasks.
+REPARTITION = "spark.textloom.inputPartitions"
 _local_folder: str | None = None
 _shipped: set[str] = set()
 
@@ -22,6 +24,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config(REPARTITION, cores)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -46,7 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Executors may disappear, so a machine-local folder is accepted only when the
-    whole session is local.
+    whole session is local and names none, as in tests.
     """
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -68,4 +71,7 @@ def write_through(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # readers are lazy, so the table goes when the application ends
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,26 +1,28 @@
-"""Corpus files: plain text and compressed JSON lines."""
+"""Corpus files: plain text and JSON lines."""
 
 from __future__ import annotations
 
-import io
-import json
-from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip_unicode
 
-SUFFIXES = (".txt", ".jsonl.zst")
-ROWS_PER_BATCH = 500
+TEXT_SUFFIXES = (".txt",)
+JSON_SUFFIXES = (".jsonl", ".jsonl.gz", ".jsonl.zst")
+
+
+def _ends_with(path: Column, suffixes: tuple[str, ...]) -> Column:
+    return reduce(or_, [path.endswith(s) for s in suffixes])
 
 
 def corpus_files(spark: SparkSession, folder: str) -> DataFrame:
     """All files below a folder with their paths and whether they can be read.
     No file content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    supported = F.col("path").endswith(SUFFIXES[0]) | F.col("path").endswith(SUFFIXES[1])
+    supported = _ends_with(F.col("path"), TEXT_SUFFIXES + JSON_SUFFIXES)
     return files.select("path", "length", supported.alias("supported"))
 
 
@@ -47,38 +49,24 @@ def _text_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("line <> ''")
 
 
-def _zstd_documents(spark: SparkSession, folder: str, field: str) -> DataFrame:
-    """Documents of ``*.jsonl.zst``, decompressed as a stream inside the task.
-    ``field`` holds a text or a list of texts. A compressed file is one row, so it
-    must stay below two gigabytes; its documents leave in small batches."""
-    paths = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl.zst")
-        .load(folder)
-        .select("path", "content")
+def _json_documents(spark: SparkSession, folder: str, field: str) -> DataFrame:
+    """Documents of JSON-lines files, read line by line through the codec that belongs to
+    the suffix (``.zst`` needs the cluster's Hadoop codec). ``field`` holds a text or a
+    list of texts; a line may also be the text itself."""
+    rows = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.jsonl*")
+        .text(folder)
+        .where(F.trim("value") != "")
+    )
+    texts = F.from_json("value", f"`{field}` array<string>")[field]
+    text = F.coalesce(F.from_json("value", f"`{field}` string")[field], F.get_json_object("value", "$"))
+    return rows.select(
+        F.col("_metadata.file_path").alias("shard"),
+        F.col("_metadata.file_block_start").alias("doc_id"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.coalesce(texts, F.array(text)).alias("lines"),
     )
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-                rows = []
-                for number, line in enumerate(io.TextIOWrapper(stream, encoding="utf-8")):
-                    if not line.strip():
-                        continue
-                    value = json.loads(line)
-                    text = value[field] if isinstance(value, dict) else value
-                    rows.append((path, number, [text] if isinstance(text, str) else list(text)))
-                    if len(rows) == ROWS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=["shard", "doc_id", "lines"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["shard", "doc_id", "lines"])
-
-    return paths.mapInPandas(read, "shard string, doc_id bigint, lines array<string>")
 
 
 def clean_document_lines(docs: DataFrame) -> DataFrame:
@@ -94,21 +82,17 @@ def read_corpus(spark: SparkSession, folder: str, field: str = "text") -> DataFr
 
     Raises when the folder holds no readable file.
     """
-    kinds = {
-        suffix: not corpus_files(spark, folder).where(F.col("path").endswith(suffix)).isEmpty() for suffix in SUFFIXES
-    }
-    if not any(kinds.values()):
-        raise FileNotFoundError(f"no files ending in {', '.join(SUFFIXES)} below {folder}")
+    files = corpus_files(spark, folder)
+    found = {kind: not files.where(_ends_with(F.col("path"), kind)).isEmpty() for kind in (TEXT_SUFFIXES, JSON_SUFFIXES)}
+    if not any(found.values()):
+        raise FileNotFoundError(f"no files ending in {', '.join(TEXT_SUFFIXES + JSON_SUFFIXES)} below {folder}")
+    at = F.struct("doc_id", "line_no").alias("at")
     parts = []
-    if kinds[".txt"]:
-        # one row per run of lines, so that a huge file does not become one row
-        rows = _text_lines(spark, folder)
-        parts.append(rows.select("shard", F.struct("doc_id", "line_no").alias("at"), F.array("line").alias("lines")))
-    if kinds[".jsonl.zst"]:
-        docs = clean_document_lines(_zstd_documents(spark, folder, field))
-        parts.append(
-            docs.select("shard", F.struct("doc_id", F.lit(0).cast("bigint").alias("line_no")).alias("at"), "lines")
-        )
+    if found[TEXT_SUFFIXES]:
+        # one row per line, so that a huge file does not become one row
+        parts.append(_text_lines(spark, folder).select("shard", at, F.array("line").alias("lines")))
+    if found[JSON_SUFFIXES]:
+        parts.append(clean_document_lines(_json_documents(spark, folder, field)).select("shard", at, "lines"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # one number that sorts like (split, line): a split starts at a multiple of at
     # least a megabyte, and line ids of one split share their upper bits

@@ -47,6 +47,11 @@ def _paragraphs(raw: DataFrame, question_id) -> DataFrame:
     return rows.select("p.context", _questions(F.col("p.qas"), question_id, lambda q: q["answers"]).alias("qas"))
 
 
+def of_language(column: Column, language: str) -> Column:
+    """Whether a record is in a language, whatever the case and the space around it."""
+    return F.lower(F.trim(column)) == language
+
+
 def read_squad(spark: SparkSession, path: str, is_train: bool, **_) -> DataFrame:
     return _paragraphs(_json(spark, path, SQUAD_SCHEMA), lambda q: q["id"])
 
@@ -70,13 +75,14 @@ def read_html_qa(spark: SparkSession, path: str, is_train: bool, all_questions:
 
 def read_byte_qa(spark: SparkSession, path: str, is_train: bool, language: str = "korean", **_) -> DataFrame:
     """JSON lines with byte offsets: one language, no yes/no questions. The id is a
-    digest of the question and its text: a running number would need one order
-    over all rows."""
+    digest of the question and its text with the record's number in the scan, which
+    keeps equal records apart: a running number would need one order over all rows."""
     raw = _json(spark, path, BYTES_SCHEMA, multi_line=False)
-    rows = raw.where(F.lower(F.trim("language")) == language)
+    rows = raw.where(of_language(F.col("language"), language))
     text = F.col("document_plaintext")
     kept, answers = qa.byte_annotation_answers(text, F.col("annotations"))
-    key = F.md5(F.concat_ws("\u0001", text, F.col("question_text"), F.to_json("annotations")))
+    digest = F.md5(F.concat_ws("\u0001", text, F.col("question_text"), F.to_json("annotations")))
+    key = F.concat_ws("-", digest, F.monotonically_increasing_id())
     rows = rows.where(kept).select(
         text.alias("context"), F.col("question_text").alias("question"), answers.alias("answers"), key.alias("id")
     )

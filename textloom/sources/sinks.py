@@ -24,8 +24,8 @@ def write_examples(examples: DataFrame, path: str, n_files: int = 1000) -> int:
     which spreads every shard over all files."""
     keys = [F.col(c) for c in ("shard", "dupe", "grp", "chunk")]
     seen = Observation()
-    rows = examples.withColumn("_file", draws.seed("file", *keys) % n_files).observe(seen, F.count(F.lit(1)).alias("n"))
-    rows.repartition(n_files, "_file").drop("_file").write.mode("overwrite").parquet(path)
+    rows = examples.withColumn("_file", (draws.seed("file", *keys) % n_files).cast("int")).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.repartitionById(n_files, "_file").drop("_file").write.mode("overwrite").parquet(path)
     return seen.get["n"]
 
 
@@ -80,14 +80,23 @@ def write_labelled(rows: DataFrame, labels: DataFrame, path: str, is_train: bool
         labels.write.mode("overwrite").option("header", "true").csv(f"{path}_label2id.csv")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Window logits ``unique_id, start_logits, end_logits``; parts append."""
-    results.select("unique_id", "start_logits", "end_logits").write.mode("append").parquet(path)
+def write_results(results: DataFrame, path: str, step: int, part: int = 0) -> None:
+    """Window logits ``unique_id, start_logits, end_logits`` of one evaluation step, in
+    parts; writing a part again replaces it."""
+    columns = results.select("unique_id", "start_logits", "end_logits")
+    columns.write.mode("overwrite").parquet(f"{path}/step={step}/part={part}")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, step: int) -> DataFrame:
+    """All parts of one step, and of no other."""
     schema = "unique_id string, start_logits array<double>, end_logits array<double>"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/step={step}")
+
+
+def clear_results(spark: SparkSession, path: str, step: int) -> None:
+    """Remove the logits of a step once it is evaluated."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/step={step}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_metrics(report: DataFrame, path: str, step: int) -> None:

@@ -56,17 +56,18 @@ def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     "wordpiece_tokens",
     with_parts(
         "line_tokens",
-        """SELECT shard, doc_id, count(*) AS n_lines, sum(n)::BIGINT AS n_tokens,
-                  sum(len(list_filter(toks, lambda t: t = '[UNK]')))::BIGINT AS n_unknown,
-                  md5(array_to_string(flatten(list(toks ORDER BY line_no)), ' ')) AS tokens_md5
-           FROM numbered GROUP BY shard, doc_id""",
+        """SELECT source AS shard, d.doc_id, count(n) AS n_lines, coalesce(sum(n), 0)::BIGINT AS n_tokens,
+                  coalesce(sum(len(list_filter(toks, lambda t: t = '[UNK]'))), 0)::BIGINT AS n_unknown,
+                  md5(coalesce(array_to_string(flatten(list(toks ORDER BY line_no) FILTER (WHERE n IS NOT NULL)), ' '), ''))
+                    AS tokens_md5
+           FROM documents d LEFT JOIN numbered USING (doc_id) GROUP BY source, d.doc_id""",
     ),
 )
 def wordpiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word pieces of whole documents, compared token by token through a digest."""
     vocab = vocabulary(spark, sf_dir)
     flat = tokens_of(spark, sf_dir).select("shard", "doc_id", F.size("lines").alias("n"), F.flatten("lines").alias("ids"))
-    return flat.where("n > 0").select(
+    return flat.select(
         "shard",
         "doc_id",
         F.col("n").cast("bigint").alias("n_lines"),
@@ -171,16 +172,15 @@ def _span_text(xs) -> F.Column:
     "word_grams",
     with_parts(
         "spans",
-        """SELECT shard, grp, chunk::BIGINT AS chunk, count(*) AS n_words,
-                  md5(string_agg(b || '-' || e, ',' ORDER BY b)) AS spans_md5
-           FROM spans GROUP BY shard, grp, chunk""",
+        """SELECT shard, grp, chunk::BIGINT AS chunk, count(b) AS n_words,
+                  md5(coalesce(string_agg(b || '-' || e, ',' ORDER BY b), '')) AS spans_md5
+           FROM framed LEFT JOIN spans USING (shard, grp, chunk) WHERE dupe = 0 GROUP BY shard, grp, chunk""",
     ),
 )
 def word_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every framed example as token spans."""
     return (
         _with_words(spark, sf_dir)
-        .where(F.size("words") > 0)
         .select(
             "shard",
             "grp",
@@ -195,9 +195,9 @@ def word_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ngram_candidates",
     with_parts(
         "ngrams",
-        """SELECT shard, grp, chunk::BIGINT AS chunk, count(*) AS n_spans,
-                  md5(string_agg(b || '-' || e, ',' ORDER BY n, b)) AS spans_md5
-           FROM ngrams GROUP BY shard, grp, chunk""",
+        """SELECT shard, grp, chunk::BIGINT AS chunk, count(b) AS n_spans,
+                  md5(coalesce(string_agg(b || '-' || e, ',' ORDER BY n, b), '')) AS spans_md5
+           FROM framed LEFT JOIN ngrams USING (shard, grp, chunk) WHERE dupe = 0 GROUP BY shard, grp, chunk""",
     ),
 )
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,6 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = masking.ngram_spans(F.col("words"), CONFIG.max_ngram_size)
     return (
         _with_words(spark, sf_dir)
-        .where(F.size("words") > 0)
         .select("shard", "grp", F.col("chunk").cast("bigint").alias("chunk"), grams.alias("grams"))
         .select(
             "shard",
@@ -225,16 +224,16 @@ def masked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mask_selection",
     with_parts(
         "chosen",
-        """SELECT ex, count(*) AS n_spans, sum(e - b)::BIGINT AS n_masked,
-                  string_agg(b || '-' || e, ',' ORDER BY b) AS spans
-           FROM chosen GROUP BY ex""",
+        """SELECT ex, count(b) AS n_spans, coalesce(sum(e - b), 0)::BIGINT AS n_masked,
+                  coalesce(string_agg(b || '-' || e, ',' ORDER BY b), '') AS spans
+           FROM (SELECT shard || '|' || dupe || '|' || grp || '|' || chunk AS ex FROM framed) LEFT JOIN chosen USING (ex)
+           GROUP BY ex""",
     ),
 )
 def mask_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word n-grams chosen for masking in every example."""
     return (
         masked_examples(spark, sf_dir)
-        .where(F.size("spans") > 0)
         .select(
             F.concat_ws("|", *examples.EXAMPLE_KEYS).alias("ex"),
             F.size("spans").cast("bigint").alias("n_spans"),
@@ -248,10 +247,11 @@ def mask_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mask_corruption",
     with_parts(
         "masked",
-        """SELECT ex, string_agg(pos, ',' ORDER BY pos) AS positions,
-                  md5(string_agg(label, ' ' ORDER BY pos)) AS labels_md5,
-                  md5(string_agg(new_tok, ' ' ORDER BY pos)) AS new_md5
-           FROM masked GROUP BY ex""",
+        """SELECT ex, coalesce(string_agg(pos, ',' ORDER BY pos), '') AS positions,
+                  md5(coalesce(string_agg(label, ' ' ORDER BY pos), '')) AS labels_md5,
+                  md5(coalesce(string_agg(new_tok, ' ' ORDER BY pos), '')) AS new_md5
+           FROM (SELECT shard || '|' || dupe || '|' || grp || '|' || chunk AS ex FROM framed) LEFT JOIN masked USING (ex)
+           GROUP BY ex""",
     ),
 )
 def mask_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +259,6 @@ def mask_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = vocabulary(spark, sf_dir)
     return (
         masked_examples(spark, sf_dir)
-        .where(F.size("masked") > 0)
         .select(
             F.concat_ws("|", *examples.EXAMPLE_KEYS).alias("ex"),
             joined("masked.pos").alias("positions"),

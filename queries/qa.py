@@ -11,6 +11,7 @@ from queries.sql import PARTS, SEED, seed
 from textloom.functions import draws
 from textloom.functions import text as txt
 from textloom.operators import qa_features as qa
+from textloom.sources import qa as sources
 from textloom.sources.qa import of_language
 
 CONFIG = qa.WindowConfig(max_seq_length=128, doc_stride=48, max_query_length=16)
@@ -376,3 +377,77 @@ def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         total("attention_mask").alias("n_real"),
         total("token_type_ids").alias("n_second"),
     )
+
+
+# --- readers: nested records as files hold them, and their shape --------------
+
+
+def nested(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """One record per document, its questions nested as in the files."""
+    rows = paragraphs(spark, sf_dir).withColumn("file", F.concat_ws("-", F.lit("doc"), "doc_id"))
+    fields = {
+        "id": lambda q: q["id"],
+        "guid": lambda q: q["id"],
+        "question": lambda q: q["question"],
+        "is_impossible": lambda q: F.when(q["is_impossible"], F.lit(True)),
+        "answers": lambda q: q["answers"],
+    }
+    qas = F.transform("qas", lambda q: F.struct(*[fields[n](q).alias(n) for n in names]))
+    paragraph = F.struct(F.col("context"), qas.alias("qas"))
+    return rows.select("file", F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
+
+
+def asked_rows(shaped: DataFrame) -> DataFrame:
+    rows = shaped.select(F.col("place.file").alias("file"), "context", F.posexplode("qas").alias("n", "q"))
+    answer = F.get("q.answers", F.lit(0))
+    return rows.select(
+        "file",
+        F.col("n").cast("bigint").alias("n"),
+        F.col("q.id").alias("id"),
+        F.col("q.question").alias("question"),
+        F.col("q.is_impossible").alias("is_impossible"),
+        answer["text"].alias("answer"),
+        answer["answer_start"].cast("bigint").alias("answer_start"),
+        F.md5("context").alias("context_md5"),
+    )
+
+
+READER_SQL = f"""WITH {QA_SQL} SELECT 'doc-' || doc_id AS file, j::BIGINT AS n, id, question, is_impossible, answer,
+  answer_start::BIGINT AS answer_start, md5(context) AS context_md5 FROM asked"""
+
+
+@query("shape_squad", READER_SQL)
+def shape_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested paragraphs of two levels, a missing flag meaning answerable."""
+    return asked_rows(sources.shape_squad(nested(spark, sf_dir, "id", "question", "is_impossible", "answers")))
+
+
+@query("shape_mrc", READER_SQL)
+def shape_mrc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ``guid`` as the id."""
+    raw = nested(spark, sf_dir, "guid", "question", "is_impossible", "answers")
+    return asked_rows(sources.shape_squad(raw, lambda q: q["guid"]))
+
+
+@query(
+    "shape_bytes",
+    f"""WITH {BYTES_SQL}
+        SELECT doc_id, count(*) FILTER (WHERE NOT none) = 0 AS is_impossible,
+               coalesce(string_agg(c0 || ':' || substr(text, (c0 + 1)::BIGINT, n::BIGINT), '|' ORDER BY i) FILTER (WHERE NOT none), '')
+                 AS answers
+        FROM spans WHERE lower(trim(lang)) = 'de'
+        GROUP BY doc_id HAVING count(*) FILTER (WHERE yes_no <> 'NONE') = 0""",
+)
+def shape_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-offset records of one language as questions, each with an id of its own."""
+    raw = annotated(spark, sf_dir).select(
+        F.lit("f").alias("file"),
+        F.col("doc_id").alias("record"),
+        F.initcap("lang").alias("language"),
+        F.col("text").alias("document_plaintext"),
+        F.col("doc_id").cast("string").alias("question_text"),
+        "annotations",
+    )
+    rows = sources.shape_bytes(raw, "de").select(F.col("place.outer").alias("doc_id"), F.explode("qas").alias("q"))
+    text = F.transform("q.answers", lambda a: F.concat_ws(":", a["answer_start"], a["text"]))
+    return rows.select("doc_id", F.col("q.is_impossible").alias("is_impossible"), F.array_join(text, "|").alias("answers"))

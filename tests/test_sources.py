@@ -130,10 +130,11 @@ def test_qa_sources(spark, tmp_path):
     note = lambda s, e, y="NONE": {"minimal_answer": {"plaintext_start_byte": s, "plaintext_end_byte": e}, "yes_no_answer": y}
     line = lambda lang, notes: json.dumps({"language": lang, "document_plaintext": "가나", "question_text": "q", "annotations": notes})
     (tmp_path / "tydi.jsonl").write_text(
-        "\n".join([line(" Korean", [note(3, 6)]), line("korean", [note(-1, -1)]), line("korean", [note(0, 3, "YES")]), line("thai", [note(0, 3)])])
+        "\n".join([line(" Korean", [note(3, 6)]), line("korean", [note(-1, -1)]), line("korean", [note(0, 3, "YES")]), line("thai", [note(0, 3)])] + [line("korean", [note(0, 3)])] * 2)
     )
     rows = sorted(qa.read_byte_qa(spark, str(tmp_path / "tydi.jsonl"), True).collect(), key=lambda r: r.qas[0].is_impossible)
-    assert len(rows) == 2 and [a.text for a in rows[0].qas[0].answers] == ["나"] and rows[1].qas[0].is_impossible
+    assert len(rows) == 4 and sorted(a.text for r in rows for a in r.qas[0].answers) == ["가", "가", "나"] and rows[3].qas[0].is_impossible
+    assert len({r.qas[0].id for r in rows}) == 4  # equal records stay apart
 
 
 def test_registry_jobs(spark, vocab, tmp_path):

@@ -328,8 +328,18 @@ def eval_features(paragraphs: DataFrame, vocab: Vocabulary, config: WindowConfig
 
 
 def eval_examples(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
-    """What scoring needs about a question, once per question: answers and words."""
-    base = paragraphs.select(*keys, words(F.col("context")).alias("doc_tokens"), F.explode(F.col("qas").cast(QAS_TYPE)).alias("q"))
+    """What scoring needs about a question, once per question: answers and words, and
+    where it stands in its files (``arrival``) if the reader has told."""
+    placed = ["place"] if "place" in paragraphs.columns else []
+    base = paragraphs.select(
+        *keys, *placed, words(F.col("context")).alias("doc_tokens"), F.posexplode(F.col("qas").cast(QAS_TYPE)).alias("n", "q")
+    )
+    arrival = [F.struct("place", "n").alias("arrival")] if placed else []
     return base.select(
-        *keys, F.col("q.id").alias("id"), F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"), "q.answers", "doc_tokens"
+        *keys,
+        F.col("q.id").alias("id"),
+        F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"),
+        "q.answers",
+        "doc_tokens",
+        *arrival,
     )

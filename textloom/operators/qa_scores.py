@@ -39,12 +39,14 @@ def missing_predictions(examples: DataFrame, predictions: DataFrame) -> DataFram
 def raw_scores(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     """``id, has_answer, answered, exact, f1, no_answer_prob, arrival`` per scored
     question. Without a probability column it is 0; ``arrival`` breaks ties when
-    questions are ordered by it, by default the id."""
+    questions are ordered by it: the order of predictions where they have one, else
+    the order of the questions in their files."""
     prob = F.col("no_answer_prob") if "no_answer_prob" in predictions.columns else F.lit(0.0)
-    arrival = F.col("arrival") if "arrival" in predictions.columns else F.col("id")
-    rows = examples.select("id", "answers").join(
-        predictions.select("id", "text", prob.alias("no_answer_prob"), arrival.alias("arrival")), "id"
-    )
+    ordered = ["arrival"] if "arrival" in predictions.columns else []
+    if not ordered and "arrival" not in examples.columns:
+        raise ValueError("neither the predictions nor the questions have an order (arrival)")
+    asked = examples.select("id", "answers", *([] if ordered else ["arrival"]))
+    rows = asked.join(predictions.select("id", "text", prob.alias("no_answer_prob"), *ordered), "id")
     scored = rows.withColumn("s", answer_scores(F.col("answers"), F.col("text")))
     return scored.select(
         "id",

@@ -26,8 +26,16 @@ BYTES_SCHEMA = (
 
 
 def _json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Records with ``file`` and ``record``, which rises in reading order inside a file."""
     reader = spark.read.schema(schema).option("multiLine", str(multi_line).lower())
-    return reader.option("pathGlobFilter", "*.json*").json(path)
+    raw = reader.option("pathGlobFilter", "*.json" if multi_line else "*.json{,l}").json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record"))
+
+
+def _place(*parts) -> Column:
+    """Where a paragraph stands: file, then positions from the outside in."""
+    names = ("outer", "inner")
+    return F.struct(F.col("file").alias("file"), *[p.cast("long").alias(n) for p, n in zip(parts, names, strict=True)]).alias("place")
 
 
 def _questions(qas: Column, question_id, answers) -> Column:
@@ -42,9 +50,17 @@ def _questions(qas: Column, question_id, answers) -> Column:
     )
 
 
-def _paragraphs(raw: DataFrame, question_id) -> DataFrame:
-    rows = raw.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p"))
-    return rows.select("p.context", _questions(F.col("p.qas"), question_id, lambda q: q["answers"]).alias("qas"))
+def spread_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """A file is one task until here: its records go to all tasks before they are worked on."""
+    return rows.repartition(*keys)
+
+
+def shape_squad(raw: DataFrame, question_id=lambda q: q["id"]) -> DataFrame:
+    """``context, qas, place`` from nested ``data`` (and ``file``)."""
+    rows = raw.select("file", F.posexplode("data").alias("i", "d"))
+    rows = rows.select("file", "i", F.posexplode("d.paragraphs").alias("j", "p"))
+    questions = _questions(F.col("p.qas"), question_id, lambda q: q["answers"])
+    return spread_rows(rows.select("p.context", questions.alias("qas"), _place(F.col("i"), F.col("j"))), "place")
 
 
 def of_language(column: Column, language: str) -> Column:
@@ -53,38 +69,47 @@ def of_language(column: Column, language: str) -> Column:
 
 
 def read_squad(spark: SparkSession, path: str, is_train: bool, **_) -> DataFrame:
-    return _paragraphs(_json(spark, path, SQUAD_SCHEMA), lambda q: q["id"])
+    return shape_squad(_json(spark, path, SQUAD_SCHEMA))
 
 
 def read_mrc(spark: SparkSession, path: str, is_train: bool, **_) -> DataFrame:
     """As :func:`read_squad`, with ``guid`` as the id."""
-    return _paragraphs(_json(spark, path, GUID_SCHEMA), lambda q: q["guid"])
+    return shape_squad(_json(spark, path, GUID_SCHEMA), lambda q: q["guid"])
 
 
 def read_html_qa(spark: SparkSession, path: str, is_train: bool, all_questions: bool = False, **_) -> DataFrame:
     """One HTML context per datum with many questions. Training uses the first
     question only unless ``all_questions``; tags are removed, answers move along,
     and contexts with many questions are split."""
-    rows = _json(spark, path, HTML_SCHEMA).select(F.explode("data").alias("d"))
+    return shape_html(_json(spark, path, HTML_SCHEMA), is_train, all_questions)
+
+
+def shape_html(raw: DataFrame, is_train: bool, all_questions: bool = False) -> DataFrame:
+    rows = raw.select("file", F.posexplode("data").alias("i", "d"))
     questions = _questions(F.col("d.qas"), lambda q: q["id"], lambda q: F.array(q["answer"]))
     if is_train and not all_questions:
         questions = qa.first_question(questions)
-    paragraphs = rows.select("d.context", questions.alias("qas"))
-    return qa.question_chunks(qa.strip_html_paragraphs(paragraphs)).select("context", "qas")
+    paragraphs = spread_rows(rows.select("d.context", questions.alias("qas"), "file", "i"), "file", "i")
+    chunks = qa.question_chunks(qa.strip_html_paragraphs(paragraphs))
+    return chunks.select("context", "qas", _place(F.col("i"), F.col("chunk")))
 
 
 def read_byte_qa(spark: SparkSession, path: str, is_train: bool, language: str = "korean", **_) -> DataFrame:
     """JSON lines with byte offsets: one language, no yes/no questions. The id is a
     digest of the question and its text with the record's number in the scan, which
     keeps equal records apart: a running number would need one order over all rows."""
-    raw = _json(spark, path, BYTES_SCHEMA, multi_line=False)
+    return shape_bytes(_json(spark, path, BYTES_SCHEMA, multi_line=False), language)
+
+
+def shape_bytes(raw: DataFrame, language: str) -> DataFrame:
     rows = raw.where(of_language(F.col("language"), language))
     text = F.col("document_plaintext")
     kept, answers = qa.byte_annotation_answers(text, F.col("annotations"))
     digest = F.md5(F.concat_ws("\u0001", text, F.col("question_text"), F.to_json("annotations")))
-    key = F.concat_ws("-", digest, F.monotonically_increasing_id())
+    key = F.concat_ws("-", digest, "record")
     rows = rows.where(kept).select(
-        text.alias("context"), F.col("question_text").alias("question"), answers.alias("answers"), key.alias("id")
+        text.alias("context"), F.col("question_text").alias("question"), answers.alias("answers"), key.alias("id"),
+        _place(F.col("record"), F.lit(0)),
     )
     question = F.struct("id", "question", (F.size("answers") == 0).alias("is_impossible"), "answers")
-    return rows.select("context", F.array(question).alias("qas"))
+    return rows.select("context", F.array(question).alias("qas"), "place")

@@ -21,7 +21,8 @@ def _state(links: DataFrame):
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # a table of its own: Spark can then split the rows of a star in the join
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

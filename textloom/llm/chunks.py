@@ -17,6 +17,7 @@ WHITE = "".join(chr(c) for low, high in WHITE_RANGES for c in range(low, high +
 ASCII_WHITE = [c for c in WHITE if ord(c) < 128]
 OTHER_WHITE = [c for c in WHITE if ord(c) >= 128]
 CACHE_CHUNKS, CACHE_CHARS = 250_000, 64
+JOINED = 256
 
 
 def chunks(text: str) -> list[str]:
@@ -36,29 +37,65 @@ def chunks(text: str) -> list[str]:
     return parts
 
 
+def stem(chunk: str) -> str | None:
+    """A chunk without the mark at its end, where the two never share a token: no token
+    has a letter and then a mark. Only for letters every Unicode version knows."""
+    if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2] < "\u0250" and chunk[-2].isalpha():
+        return chunk[:-1]
+    return None
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.cache: dict[str, bytes] = {}
+        (self.feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with the space they start with.
+
+        Plain ones go to the library many to a line, ``" a\\n b\\n c"``: a line feed before
+        a space is a token of its own, which no chunk without white space holds."""
+        plain = [c for c in chunks if c.split() == [c] and "<|" not in c]
+        lines = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast(["\n".join(f" {c}" for c in line) for line in lines], add_special_tokens=False)
+        found: dict[str, bytes] = {}
+        for line, e in zip(lines, encoded, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            feeds = np.flatnonzero(ids == self.feed).tolist()
+            if len(feeds) == len(line) - 1:
+                raw = ids.tobytes()
+                for chunk, low, high in zip(line, [-1, *feeds], [*feeds, len(ids)], strict=True):
+                    found[chunk] = raw[4 * low + 4 : 4 * high]
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._ids([f" {c}" for c in rest]), strict=True))
+        return [found[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        missing = {c for parts in cut for c in parts[1:]}.difference(cache)
-        missing = list(missing)
-        found = dict(zip(missing, self._ids([f" {c}" for c in missing]), strict=True))
+        used = {c for parts in cut for c in parts[1:]}
+        missing = used.difference(cache)
+        stems = {c: own for c in missing if (own := stem(c))}
+        missing = list(missing.difference(stems).union(set(stems.values()).difference(cache)))
+        cache.update(zip(missing, self._spaced(missing), strict=True))
+        for chunk, own in stems.items():
+            cache[chunk] = cache[own] + self.marks[chunk[-1]]
+        missing += stems
         firsts = self._ids([parts[0] for parts in cut])
-        cache.update(found)
         out = [first + b"".join([cache[c] for c in parts[1:]]) for first, parts in zip(firsts, cut, strict=True)]
-        for chunk in missing:
-            if len(chunk) > CACHE_CHARS:
-                del cache[chunk]
+        if len(cache) > CACHE_CHUNKS:
+            # what the last texts used stays
+            self.cache = {c: cache[c] for c in used if len(c) <= CACHE_CHARS}
+        else:
+            for chunk in missing:
+                if len(chunk) > CACHE_CHARS:
+                    del cache[chunk]
         return out

@@ -92,3 +92,11 @@ def test_documents(spark, monkeypatch):
         assert out[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
         assert out[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert pieces.encode(df.limit(0), "doc", "text", MODEL).count() == 0
+
+
+def test_common_units_are_bounded(spark):
+    text = "a a a a b b b c c d d e"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc long, text string")
+    for limit, want in ((0, ""), (1, "a"), (2, "ab"), (3, "ab"), (4, "abcd"), (9, "abcd")):
+        got = {r["unit"] for r in pieces.common_units(df, "text", limit).collect()}
+        assert got == {"▁" + c for c in want}

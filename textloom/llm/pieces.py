@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.tables import saved
@@ -400,10 +400,17 @@ def decode(ids: np.ndarray, strings: list[bytes]) -> str:
 
 
 def common_units(rows: DataFrame, text: str, limit: int = COMMON) -> DataFrame:
-    """The most frequent units of a corpus, counted over all of it."""
+    """The most frequent units of a corpus, counted over all of it: those that occur so
+    often that at most ``limit`` units occur as often. The bound comes from a table of
+    counts per count, so no task ever holds a share of every other task's units."""
     words = rows.select(F.explode(F.split(F.translate(F.col(text), MARK, " "), " ")).alias("unit"))
     counts = words.where(F.length("unit").between(1, CACHE_CHARS)).groupBy("unit").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "unit").limit(limit).select(F.concat(F.lit(MARK), "unit").alias("unit"))
+    repeated = saved(counts.where(F.col("n") > 1))
+    sizes = repeated.groupBy("n").agg(F.count("*").alias("m"))
+    running = F.sum("m").over(Window.orderBy(F.desc("n")))
+    least = sizes.withColumn("r", running).where(F.col("r") <= limit).agg(F.min("n").alias("n")).first()["n"]
+    kept = repeated.where(F.col("n") >= least) if least is not None else repeated.limit(0)
+    return kept.select(F.concat(F.lit(MARK), "unit").alias("unit"))
 
 
 _encoders: dict[int, Encoder] = {}

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from textloom.session import write_through
 
 
+BUCKET_ROWS = 100_000
+
+
 def block_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,15 +47,17 @@ def running_sum(blocked: DataFrame, value: Column, order: list[Column], name: st
     )
 
 
-def hash_rank(df: DataFrame, draw: Column, tie: Column, name: str, buckets: int = 4096) -> DataFrame:
+def hash_rank(df: DataFrame, draw: Column, tie: Column, name: str, buckets: int | None = None) -> DataFrame:
     """0-based rank of each row in the order of a uniform integer ``draw``, and the
     number of rows as ``<name>_total``.
 
     Uniform draws make equal buckets, so ranks come from a window per bucket plus
-    the bucket offsets; ``tie`` makes the order total.
+    the bucket offsets; ``tie`` makes the order total. By default there is a bucket
+    for every ``BUCKET_ROWS`` rows.
     """
     from textloom.functions.draws import MODULUS
 
+    buckets = buckets or max(16, -(-df.count() // BUCKET_ROWS))
     keyed = df.withColumn("_draw", draw).withColumn(
         "_bucket", F.floor(F.col("_draw") * buckets / MODULUS).cast("int")
     )

@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import draws
-from textloom.operators.ordering import ordered_blocks
+from textloom.operators.ordering import block_count, ordered_blocks
 
+#: Lines in a block at most, on average; blocks follow the data.
+BLOCK_LINES = 1_000_000
 KEYS = ["shard", "dupe", "block"]
 
 
@@ -175,6 +177,9 @@ def pack_lines(
     """
     copies = dupe_factor if short_prob > 0 else 1
     docs = docs.select("shard", "doc_id", "lens").where(F.size("lens") > 0)
+    if blocks is None:
+        lines = docs.agg(F.sum(F.size("lens")).alias("n")).first()["n"] or 0
+        blocks = max(block_count(docs), -(-lines // BLOCK_LINES))
     blocked = ordered_blocks(docs, "shard", "doc_id", blocks=blocks)
     rows = blocked.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("dupe"))
     if short_prob > 0:

@@ -234,6 +234,21 @@ def test_align_text(predicted, original, lower, expected):
     assert pr.align_text(predicted, original, lower) == expected
 
 
+def out_table(spark):
+    return spark.createDataFrame([("q-1", "truck")], "id string, text string")
+
+
+def test_equal_probabilities_follow_the_order_of_the_files(spark, vocab):
+    asked = [("z", [("red",)], 0), ("a", [], 1)]
+    predictions = spark.createDataFrame([("z", "red"), ("a", "red")], "id string, text string")
+    best = {}
+    for flip in (False, True):
+        rows = [(i, a, 1 - n if flip else n) for i, a, n in asked]
+        examples = spark.createDataFrame(rows, "id string, answers array<struct<text:string>>, arrival int")
+        best[flip] = {r.metric: r.value for r in sc.question_report(examples, predictions).collect()}["best_f1"]
+    assert best == {False: 100.0, True: 50.0}
+
+
 def test_predict_end_to_end(spark, vocab):
     rows = paragraph(spark, question("q-1", "truck", CONTEXT.index("truck")))
     config = qa.WindowConfig(32, 16, 4)
@@ -247,8 +262,10 @@ def test_predict_end_to_end(spark, vocab):
     out = pr.predict(features, results, qa.eval_examples(rows, []), vocab, pr.PredictConfig(5, 8, True)).first()
     # the word is "truck." and the tokens are "tru ##ck"
     assert (out.id, out.text) == ("q-1", "truck")
+    with pytest.raises(ValueError, match="order"):
+        sc.question_report(qa.eval_examples(rows, []), out_table(spark))
     report = sc.question_report(
-        qa.eval_examples(rows, []),
+        qa.eval_examples(rows.withColumn("place", F.lit(0)), []),
         pr.predict(features, results, qa.eval_examples(rows, []), vocab, pr.PredictConfig(5, 8, True)),
         version_2=True,
     )

@@ -40,12 +40,11 @@ def raw_scores(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     """``id, has_answer, answered, exact, f1, no_answer_prob, arrival`` per scored
     question. Without a probability column it is 0; ``arrival`` breaks ties when
     questions are ordered by it: the order of predictions where they have one, else
-    the order of the questions in their files."""
+    the order of the questions in their files, else none (null)."""
     prob = F.col("no_answer_prob") if "no_answer_prob" in predictions.columns else F.lit(0.0)
     ordered = ["arrival"] if "arrival" in predictions.columns else []
-    if not ordered and "arrival" not in examples.columns:
-        raise ValueError("neither the predictions nor the questions have an order (arrival)")
-    asked = examples.select("id", "answers", *([] if ordered else ["arrival"]))
+    place = F.col("arrival") if "arrival" in examples.columns else F.lit(None).cast("long").alias("arrival")
+    asked = examples.select("id", "answers", *([] if ordered else [place]))
     rows = asked.join(predictions.select("id", "text", prob.alias("no_answer_prob"), *ordered), "id")
     scored = rows.withColumn("s", answer_scores(F.col("answers"), F.col("text")))
     return scored.select(
@@ -134,6 +133,8 @@ def question_report(
 ) -> DataFrame:
     """``(metric, value)`` rounded to two digits, with ``best_score`` and the number
     of questions without a prediction."""
+    if "arrival" not in predictions.columns and "arrival" not in examples.columns:
+        raise ValueError("neither the predictions nor the questions have an order (arrival)")
     raw = raw_scores(examples, predictions)
     unanswerable = examples.agg(F.count(F.when(F.size("answers") == 0, 1)).alias("n"))
     summary = score_summary(apply_threshold(raw, threshold)).withColumn("_one", F.lit(1))

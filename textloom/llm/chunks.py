@@ -16,7 +16,7 @@ WHITE_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 WHITE = "".join(chr(c) for low, high in WHITE_RANGES for c in range(low, high + 1))
 ASCII_WHITE = [c for c in WHITE if ord(c) < 128]
 OTHER_WHITE = [c for c in WHITE if ord(c) >= 128]
-CACHE_CHUNKS, CACHE_CHARS = 250_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 64
 JOINED = 256
 
 

@@ -37,7 +37,7 @@ from textloom.llm.words import mix, powers
 
 MARK = "▁"
 COMMON = 50_000
-CACHE_UNITS, CACHE_CHARS, LONG_UNIT = 250_000, 64, 200
+CACHE_UNITS, CACHE_CHARS, LONG_UNIT = 600_000, 64, 200
 LATTICE_CHARS = 200_000
 CHAR_BASE = 0x9FB21C651E98DF25
 
@@ -380,16 +380,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [units(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_UNITS + len(self.common):
-            self.cache = dict(self.common)
         cache = self.cache
-        missing = list({u for own in cut for u in own}.difference(cache))
+        used = {u for own in cut for u in own}
+        missing = list(used.difference(cache))
         ids = self.lattice.encode([MARK + u for u in missing])
         cache.update(zip(missing, (np.array(i, "<u4").tobytes() for i in ids), strict=True))
         out = [b"".join([cache[u] for u in own]) for own in cut]
         for unit in missing:
             if len(unit) > CACHE_CHARS:
                 del cache[unit]
+        if len(cache) > CACHE_UNITS + len(self.common):
+            # the common units and what the last texts used stay
+            self.cache = self.common | {u: cache[u] for u in used if u in cache}
         return out
 
 

@@ -40,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
     current = saved(oriented)
     state = _state(current)
     while True:
-        current = saved(_small_star(saved(_large_star(current))))
+        current = saved(_small_star(_large_star(current)))
         after = _state(current)
         if after == state:
             break

@@ -80,3 +80,29 @@ def test_prints_move_little():
     for a, b in zip(near_copies.prints(h), near_copies.prints(changed), strict=True):
         assert ((a ^ b) & (2**64 - 1)).bit_count() <= near_copies.NEAR_BITS
     assert near_copies.prints(h[:0]) == [0] * (near_copies.INDEXED + 1)
+
+
+def cut_corpus():
+    """Pairs of a page and the page with a passage appended, at a similarity just over 0.8."""
+    rng, rows = random.Random(7), []
+    for n, more in [(100, 23), (300, 70), (60, 10), (30, 4), (10, 1), (1000, 240)]:
+        for _ in range(25):
+            page = [f"w{rng.random()}" for _ in range(n + more)]
+            rows += [" ".join(page), " ".join(page[:n])]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_appended_passages(spark):
+    rows = cut_corpus()
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    assert {r["key"]: r["component"] for r in near_copies.groups(df, "doc", "text").collect()} == brute(rows)
+
+
+def test_parity_is_a_bound():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 70, 1000):
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[n // 9 :], rng.integers(0, 2**63, n // 4).astype(np.uint64)])
+        differ = len(np.setxor1d(x, y))
+        assert near_copies.parity_distance(near_copies.parity(x), near_copies.parity(y)) <= differ

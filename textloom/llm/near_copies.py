@@ -37,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 INDEXED = 3
 NEAR_BITS = 14
 SWEEP, PAIRWISE, NEAREST = 8192, 16, 4
+SAMPLE, OFTEN, COMMON = 4096, 4, 1 << 17
+HUBS, TURNS = 8, 2
 SHINGLE_BASE, FIRST_BASE, SECOND_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 _draws = words.mix(np.arange(1, INDEXED + 2, dtype=np.uint64))
 
@@ -75,19 +77,74 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique((grams >> np.uint64(32)).astype("<u4"))
 
 
-PRINTED = "key long, h1 long, h2 long, prints array<long>"
+def ordered_grams(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The distinct shingles as 64-bit hashes in the order of all texts: common ones last."""
+    grams = words.runs(hashes, SHINGLE, SHINGLE_BASE)
+    if not len(grams):
+        grams = np.array([words.sequence(hashes, SHINGLE_BASE)], np.uint64)
+    grams = np.unique(grams)
+    late = np.zeros(len(grams), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    return np.concatenate([grams[~late], grams[late]])
 
 
-def _printing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parity(grams: np.ndarray) -> bytes:
+    """Per class of shingles whether their number is odd; about two classes a shingle.
+
+    Sets differ in at least as many shingles as their parities differ in bits."""
+    classes = 64 << max(0, (len(grams) // 32 - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded to the shorter."""
+    x, y = (np.frombuffer(z, np.uint8) for z in (x, y))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+PRINTED = "key long, h1 long, h2 long, prints array<long>, size long, grams array<long>, parity binary"
+
+
+def _printing(common: np.ndarray):
+    """``grams`` are the first shingles in the common order: of two alike texts these share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second, found, sizes, grams, parities = [], [], [], [], [], []
+            for _, hashes in _texts(batch.column(1)):
+                first.append(words.sequence(hashes, FIRST_BASE))
+                second.append(words.sequence(hashes, SECOND_BASE))
+                found.append(prints(hashes))
+                every = ordered_grams(hashes, common)
+                sizes.append(len(every))
+                grams.append(every[: len(every) // 5 + 1].view(np.int64))
+                parities.append(parity(every))
+            h1, h2 = (pa.array(np.array(h, np.uint64).view(np.int64), pa.int64()) for h in (first, second))
+            lists = pa.array(found, pa.list_(pa.int64()))
+            columns = [batch.column(0), h1, h2, lists, pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "h1", "h2", "prints", "size", "grams", "parity"])
+
+    return run
+
+
+def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.empty(0, np.uint64)
     for batch in batches:
-        first, second, found = [], [], []
         for _, hashes in _texts(batch.column(1)):
-            first.append(words.sequence(hashes, FIRST_BASE))
-            second.append(words.sequence(hashes, SECOND_BASE))
-            found.append(prints(hashes))
-        h1, h2 = (pa.array(np.array(h, np.uint64).view(np.int64), pa.int64()) for h in (first, second))
-        lists = pa.array(found, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), h1, h2, lists], ["key", "h1", "h2", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array(ordered_grams(hashes, none).view(np.int64), pa.int64())], ["gram"])
+
+
+def common_grams(rows: DataFrame) -> np.ndarray:
+    """Shingles that many of a sample of the texts have. Any order of shingles gives the
+    same links; with these last, few texts meet for a passage that many have."""
+    share = max(1, rows.count() // SAMPLE)
+    listed = rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).mapInArrow(_listing, "gram long")
+    often = listed.groupBy("gram").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "gram").limit(COMMON)
+    return np.sort(np.array([r["gram"] for r in often.collect()], np.int64).view(np.uint64))
 
 
 def _partners(node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,20 +281,94 @@ def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def groups(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, component`` of every distinct key: the smallest key of its group."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
-    printed = saved(rows.mapInArrow(_printing, PRINTED))
-    nodes = saved(printed.groupBy("h1", "h2").agg(F.min("key").alias("node"), F.first("prints").alias("prints")))
-    pairs = saved(candidates(nodes))
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose texts are alike."""
     asked = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     texts = rows.join(asked.withColumnRenamed("node", "key"), "key", "left_semi").select("key", "text")
     # the text of a key with several rows: any of them may be the node's, so all are tried
     sets = saved(texts.mapInArrow(_shingling, "node long, shingles binary"))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    links = both.mapInArrow(_verifying, "a long, b long")
-    reached = components(links)
+    return saved(both.mapInArrow(_verifying, "a long, b long"))
+
+
+def shared_grams(nodes: DataFrame) -> DataFrame:
+    """``gram, place, node, size, rows`` of the first shingles that several nodes have."""
+    each = nodes.select("node", "size", F.posexplode("grams").alias("place", "gram"))
+    several = each.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1")
+    return saved(each.join(several, "gram"))
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of different components that share a shingle and may be alike by their sizes
+    and by what can follow their first shared shingle (9 times the overlap is at least 4
+    times the sum of the sizes)."""
+    other = right.select("gram", *(F.col(c).alias(f"_{c}") for c in ("place", "node", "size", "component")))
+    sizes = "5 * least(size, _size) >= 4 * greatest(size, _size) AND 9 * least(size - place, _size - _place) >= 4 * (size + _size)"
+    met = left.join(other, "gram").where(f"component <> _component AND {sizes}")
+    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
+def _hubs(open_rows: DataFrame, turn: int) -> DataFrame:
+    """A few nodes of every shingle, other ones each turn."""
+    draw = F.xxhash64("node", F.lit(turn))
+    least = F.min(F.struct(draw.alias("_draw"), "place", "node", "size", "component")).alias("_hub")
+    return open_rows.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(least).select("gram", "_hub.*")
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, sizes, x, y = (c.to_pylist() for c in batch.columns)
+        mask = pa.array([9 * parity_distance(*z) <= n for n, *z in zip(sizes, x, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
+def _not_apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that differ in at most a ninth of the sum of their sizes, by parity."""
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("_n"), F.col("parity").alias("x")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("_m"), F.col("parity").alias("y")), "b")
+    return both.select("a", "b", F.expr("_n + _m"), "x", "y").mapInArrow(_apart, "a long, b long").distinct()
+
+
+def completed(nodes: DataFrame, tested: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, component`` once no two components have texts that are alike.
+
+    Alike texts share one of their first shingles. In each turn nodes that share one and
+    are of different components are compared: in small groups all of them and in large ones
+    each with the hubs, and in the last turn all that are left."""
+    met, reached = shared_grams(nodes), components(links)
+    for turn in range(TURNS + 1):
+        named = met.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = saved(named if not turn else named.where(F.col("rows") > PAIRWISE))
+        several = named.groupBy("gram").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least < _most")
+        open_rows = saved(named.join(several.select("gram"), "gram"))
+        if open_rows.isEmpty():
+            break
+        if turn == TURNS:
+            pairs = _meeting(open_rows, open_rows)
+        else:
+            large = open_rows.where(F.col("rows") > PAIRWISE)
+            pairs = _meeting(large, saved(_hubs(large, turn)))
+            if not turn:
+                small = open_rows.where(F.col("rows") <= PAIRWISE)
+                pairs = pairs.unionByName(_meeting(small, small)).distinct()
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        found = verified(saved(_not_apart(pairs, nodes)), rows)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            reached = components(links)
+    return reached
+
+
+def groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, component`` of every distinct key: the smallest key of its group."""
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
+    printed = saved(rows.mapInArrow(_printing(common_grams(rows)), PRINTED))
+    kept = [F.first(c).alias(c) for c in ("prints", "size", "grams", "parity")]
+    nodes = saved(printed.groupBy("h1", "h2").agg(F.min("key").alias("node"), *kept))
+    pairs = saved(candidates(nodes))
+    reached = completed(nodes, pairs, verified(pairs, rows), rows)
     named = saved(nodes.join(reached, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")))
     return printed.join(named, ["h1", "h2"]).groupBy("key").agg(F.min("component").alias("component"))
 

@@ -106,3 +106,9 @@ def test_parity_is_a_bound():
         y = np.concatenate([x[n // 9 :], rng.integers(0, 2**63, n // 4).astype(np.uint64)])
         differ = len(np.setxor1d(x, y))
         assert near_copies.parity_distance(near_copies.parity(x), near_copies.parity(y)) <= differ
+
+
+def test_links_of_hot_variants_are_linear(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SWEEP", 20)
+    nodes = spark.range(400).selectExpr("id AS node", "array(0L, 0L, 0L, 0L) AS prints")
+    assert 399 <= near_copies.candidates(nodes).count() <= 400 * near_copies.HUBS

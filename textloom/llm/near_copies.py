@@ -2,16 +2,20 @@
 
 Texts are alike when their sets of five-word shingles (words lower-cased, a shorter text
 being one shingle) have a Jaccard similarity of 0.8 or more. At that similarity two
-64-bit fingerprints differ in too many bits for a guarantee, so the index of deletion
-variants is used several times over: ``INDEXED`` fingerprints with draws of their own are
-cut into halves, and texts that agree on a half but for one bit become candidates if a
-last, independent fingerprint is near, too. The fingerprints weigh each word by the root
-of its count, which moves least bits for a changed word; candidates are then verified on
-their shingles. README gives the recall measured.
+64-bit fingerprints differ in too many bits for a guarantee, so links are found in two steps.
 
-Equal word sequences are one node. A variant's rows give each node a few partners (the
-smallest, the most central and the nearest ones), never all pairs; variants with more
-than ``SWEEP`` nodes are dealt into blocks whose pairs are swept in the same way.
+First, the index of deletion variants is used several times over: ``INDEXED`` fingerprints
+with draws of their own are cut into halves, and texts that agree on a half but for one
+bit become candidates if a last, independent fingerprint is near, too. The fingerprints
+weigh each word by the root of its count, which moves least bits for a changed word;
+candidates are then verified on their shingles. A variant's rows give each node a few
+partners (the smallest, the most central and the nearest ones), in variants with more
+than ``SWEEP`` nodes a few hubs, never all pairs.
+
+Then ``completed`` finds every link between components that the fingerprints missed: in
+any fixed order of all shingles, alike texts share one of their first n/5 + 1.
+
+Equal word sequences are one node.
 
 Defined results: texts without words are copies of each other; the smallest key of a
 group stays; of rows that share a key one stays (the first in the order of texts); rows
@@ -253,14 +257,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
     swept = _sweep(rows, "variant", SWEEP)
     pairs = swept.where(F.col("variant") == PAIR).select("a", "b")
     hot = swept.where(F.col("variant") != PAIR).select("variant", F.col("a").alias("node"), F.col("b").alias("bits"))
-    # blocks of a third of the limit, so that two of them fit a sweep
-    sizes = hot.groupBy("variant").agg(F.ceil(F.count("*") * 3 / SWEEP).alias("blocks"))
-    blocked = hot.join(sizes, "variant").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = blocked.withColumn("_other", other).select(
-        F.xxhash64("variant", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("met"), "node", "bits"
-    )
-    more = _sweep(met, "met", 4 * SWEEP).where(F.col("variant") == PAIR).select("a", "b")
+    # what hubs miss is found by the shingles
+    least = F.min(F.struct(F.xxhash64("node").alias("_draw"), "node", "bits")).alias("_hub")
+    hubs = saved(hot.groupBy("variant", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(least))
+    near = hot.join(hubs, "variant").where(F.expr(f"node <> _hub.node AND bit_count(bits ^ _hub.bits) <= {NEAR_BITS}"))
+    more = near.select(F.least("node", "_hub.node").alias("a"), F.greatest("node", "_hub.node").alias("b"))
     return pairs.unionByName(more).distinct()
 
 

@@ -112,3 +112,16 @@ def test_links_of_hot_variants_are_linear(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "SWEEP", 20)
     nodes = spark.range(400).selectExpr("id AS node", "array(0L, 0L, 0L, 0L) AS prints")
     assert 399 <= near_copies.candidates(nodes).count() <= 400 * near_copies.HUBS
+
+
+def test_revisions_stay_one_group(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PAIRWISE", 4)
+    rng, rows = random.Random(3), []
+    page = [f"w{rng.random()}" for _ in range(300)]
+    for _ in range(8):
+        rows += [" ".join(edited(rng, page, 1)) for _ in range(20)]
+        page = edited(rng, page, 4)
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    assert {r["key"]: r["component"] for r in near_copies.groups(df, "doc", "text").collect()} == brute(rows)

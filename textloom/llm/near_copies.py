@@ -43,6 +43,7 @@ NEAR_BITS = 14
 SWEEP, PAIRWISE, NEAREST = 8192, 16, 4
 SAMPLE, OFTEN, COMMON = 4096, 4, 1 << 17
 HUBS, TURNS = 8, 2
+ROWS = 512
 SHINGLE_BASE, FIRST_BASE, SECOND_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 _draws = words.mix(np.arange(1, INDEXED + 2, dtype=np.uint64))
 
@@ -51,6 +52,13 @@ def _raw(texts: pa.Array) -> list[bytes]:
     return [t.lower() for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of them stays small in a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _texts(batch_texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Number and word hashes of every text."""
     for at, to, of, _, _, hashes in words.word_tables(_raw(batch_texts)):
@@ -117,7 +125,7 @@ def _printing(common: np.ndarray):
     """``grams`` are the first shingles in the common order: of two alike texts these share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             first, second, found, sizes, grams, parities = [], [], [], [], [], []
             for _, hashes in _texts(batch.column(1)):
                 first.append(words.sequence(hashes, FIRST_BASE))
@@ -125,7 +133,7 @@ def _printing(common: np.ndarray):
                 found.append(prints(hashes))
                 every = ordered_grams(hashes, common)
                 sizes.append(len(every))
-                grams.append(every[: len(every) // 5 + 1].view(np.int64))
+                grams.append(every[: len(every) // 5 + 1].copy().view(np.int64))
                 parities.append(parity(every))
             h1, h2 = (pa.array(np.array(h, np.uint64).view(np.int64), pa.int64()) for h in (first, second))
             lists = pa.array(found, pa.list_(pa.int64()))
@@ -266,13 +274,13 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _shingling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         sets = [shingles(h).tobytes() for _, h in _texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
 def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
@@ -318,7 +326,7 @@ def _hubs(open_rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         a, b, sizes, x, y = (c.to_pylist() for c in batch.columns)
         mask = pa.array([9 * parity_distance(*z) <= n for n, *z in zip(sizes, x, y, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])

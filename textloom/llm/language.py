@@ -177,47 +177,57 @@ def train(df: DataFrame, text: str, label: str) -> Model | None:
     return fit(counts)
 
 
-PREDICTED = [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())]
-
-
-def _predicting(model: Model | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PREDICTED = ["lang_pred", "score", "ambiguous"]
+
+
+def _predicted(texts: list[str | None], model: Model | None) -> list[pa.Array]:
+    """Language, score and ambiguity of every text."""
+    names, scores, unsure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    held: dict[int, tuple[np.ndarray, int]] = {}  # a text in several parts
+    for of, parts in _parts(texts) if model else []:
+        counts, letters = gram_counts(parts)
+        first = {}
+        for row, i in enumerate(of):
+            if i in first:
+                counts[first[i]] += counts[row]
+                letters[first[i]] += letters[row]
+            else:
+                first[i] = row
+                if i in held:
+                    counts[row] += held[i][0]
+                    letters[row] += held[i][1]
+        rows = list(first.values())
+        best, chance, second = model.decide(counts[rows])
+        for n, (i, row) in enumerate(first.items()):
+            if letters[row]:
+                names[i], scores[i] = model.languages[best[n]], chance[n]
+                unsure[i] = second[n] > AMBIGUOUS * chance[n]
+        last = of[-1]
+        held = {last: (counts[first[last]].copy(), int(letters[first[last]]))}
+    return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
+
+
+def told(text: Column, model: Model | None) -> Column:
+    """``struct<lang_pred, score, ambiguous>`` of a text. Only texts go to Python; the rest
+    of a row stays where it is."""
+
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def tell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            names, scores, unsure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            held: dict[int, tuple[np.ndarray, int]] = {}  # a text in several parts
-            for of, parts in _parts(texts) if model else []:
-                counts, letters = gram_counts(parts)
-                first = {}
-                for row, i in enumerate(of):
-                    if i in first:
-                        counts[first[i]] += counts[row]
-                        letters[first[i]] += letters[row]
-                    else:
-                        first[i] = row
-                        if i in held:
-                            counts[row] += held[i][0]
-                            letters[row] += held[i][1]
-                rows = list(first.values())
-                best, chance, second = model.decide(counts[rows])
-                for n, (i, row) in enumerate(first.items()):
-                    if letters[row]:
-                        names[i], scores[i] = model.languages[best[n]], chance[n]
-                        unsure[i] = second[n] > AMBIGUOUS * chance[n]
-                last = of[-1]
-                held = {last: (counts[first[last]].copy(), int(letters[first[last]]))}
-            out = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*batch.schema.names[1:], *(n for n, _ in PREDICTED)])
-
-    return run
+            found = []
+            for at in range(0, len(batch), SLICE_TEXTS):
+                part = _predicted(batch.slice(at, SLICE_TEXTS).to_pylist(), model)
+                found.append(pa.StructArray.from_arrays(part, names=PREDICTED))
+            yield pa.concat_arrays(found) if found else pa.StructArray.from_arrays(_predicted([], model), names=PREDICTED)
+
+    # not to be run again where its result is asked for a second time
+    return tell.asNondeterministic()(text)
 
 
 def predict(df: DataFrame, text: str, model: Model | None, kept: dict[str, Column]) -> DataFrame:
     """The columns ``kept`` of every row with ``lang_pred, score, ambiguous``."""
-    read = "_text"
-    while read in kept:
-        read += "_"
-    rows = df.select(F.col(text).alias(read), *[c.alias(n) for n, c in kept.items()])
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
-    added = "lang_pred string, score double, ambiguous boolean"
-    return rows.mapInArrow(_predicting(model), f"{schema}, {added}" if schema else added)
+    held = "_told"
+    while held in kept:
+        held += "_"
+    rows = df.select(*[c.alias(n) for n, c in kept.items()], told(F.col(text), model).alias(held))
+    return rows.select(*[F.col(f"`{n}`") for n in kept], *[F.col(f"{held}.{c}") for c in PREDICTED])

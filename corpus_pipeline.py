@@ -25,9 +25,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     about as likely as not. A missing ``lang`` is filled in."""
     ship_package(spark)
     model = language.train(docs, "text", "lang")
-    told = language.predict(docs, "text", model, {c: F.col(c) for c in docs.columns})
-    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), language.told(F.col("text"), model).alias("told"))
+    kept = named.where((F.col("told.lang_pred") != language.UNDETERMINED) & (F.col("told.score") >= LEAST_SCORE))
+    lang = F.coalesce("row.lang", "told.lang_pred").alias("lang")
+    return kept.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

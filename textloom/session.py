@@ -31,8 +31,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+#: What goes to a Python worker at once: rows by their bytes, as texts may be long.
+BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application, and keep
+    what is sent to them small (a smaller limit of the session stays)."""
+    if int(spark.conf.get(BATCH_BYTES).rstrip("b") or 0) > BATCH_LIMIT:
+        spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -8,7 +8,11 @@ comes from a bounded cache.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # fixed values: characters some tokeniser counts as white space
 WHITE_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E),
@@ -45,6 +49,21 @@ def stem(chunk: str) -> str | None:
     return None
 
 
+SPACED = f"[{re.escape(WHITE)}] "
+
+
+def _chunk_lists(texts: pa.Array) -> pa.Array:
+    """The chunks of every text: cut at every space, but where white space stands before it."""
+    lists = pc.split_pattern(texts, " ")
+    odd = pc.match_substring_regex(texts, SPACED).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return lists
+    at, others = np.flatnonzero(odd), np.flatnonzero(~odd)
+    own = pa.array([chunks(t) for t in texts.take(pa.array(at)).to_pylist()], lists.type)
+    both = pa.concat_arrays([lists.take(pa.array(others)), own])
+    return both.take(pa.array(np.argsort(np.concatenate([others, at]), kind="stable")))
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -78,24 +97,54 @@ class ChunkEncoder:
         found.update(zip(rest, self._ids([f" {c}" for c in rest]), strict=True))
         return [found[c] for c in chunks]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
+    def _found(self, used: list[str]) -> list[bytes]:
+        """Ids of distinct chunks with the space they start with, through the cache."""
         cache = self.cache
-        used = {c for parts in cut for c in parts[1:]}
-        missing = used.difference(cache)
+        missing = [c for c in used if c not in cache]
         stems = {c: own for c in missing if (own := stem(c))}
-        missing = list(missing.difference(stems).union(set(stems.values()).difference(cache)))
-        cache.update(zip(missing, self._spaced(missing), strict=True))
+        new = list(dict.fromkeys(own for own in stems.values() if own not in cache))
+        plain = {*new}
+        new += [c for c in missing if c not in stems and c not in plain]
+        cache.update(zip(new, self._spaced(new), strict=True))
         for chunk, own in stems.items():
             cache[chunk] = cache[own] + self.marks[chunk[-1]]
-        missing += stems
-        firsts = self._ids([parts[0] for parts in cut])
-        out = [first + b"".join([cache[c] for c in parts[1:]]) for first, parts in zip(firsts, cut, strict=True)]
+        out = [cache[c] for c in used]
         if len(cache) > CACHE_CHUNKS:
             # what the last texts used stays
-            self.cache = {c: cache[c] for c in used if len(c) <= CACHE_CHARS}
+            self.cache = {c: ids for c, ids in zip(used, out, strict=True) if len(c) <= CACHE_CHARS}
         else:
-            for chunk in missing:
+            for chunk in [*new, *stems]:
                 if len(chunk) > CACHE_CHARS:
                     del cache[chunk]
         return out
+
+    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, with ``end_id`` after each, and where each
+        text begins (one more than texts). Every distinct chunk is looked up once, and the
+        ids are gathered by number of the chunk."""
+        lists = _chunk_lists(texts)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets, flat = offsets - offsets[0], lists.flatten()
+        first = offsets[:-1]
+        later = np.ones(len(flat), bool)
+        later[first] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        known = self._found(coded.dictionary.to_pylist())
+        known += self._ids(flat.take(pa.array(first)).to_pylist())
+        end = [] if end_id is None else [np.array([end_id], "<u4").tobytes()]
+        ids = np.frombuffer(b"".join(known + end), "<u4")
+        sizes = np.fromiter(map(len, known + end), np.int64, len(known) + len(end)) // 4
+        number = np.empty(len(flat), np.int64)
+        number[later] = coded.indices.to_numpy()
+        number[first] = len(coded.dictionary) + np.arange(len(first))
+        if end:
+            number = np.insert(number, offsets[1:], len(known))
+            offsets = offsets + np.arange(len(offsets))
+        before = np.concatenate([[0], np.cumsum(sizes[number])])
+        begins = np.cumsum(sizes) - sizes
+        at = np.repeat(begins[number] - before[:-1], sizes[number]) + np.arange(before[-1])
+        return ids[at], before[offsets]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, bounds = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

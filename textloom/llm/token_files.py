@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from textloom.session import shared_folder
 MAGIC = b"TLBITS01"
 BLOCK = 1 << 16
 FILE_TEXT_BYTES = 32 << 20
-SLICE_CHARS = 4_000_000
+SLICE_BYTES = 8_000_000
 
 
 def bit_width(vocabulary: int) -> int:
@@ -166,18 +167,16 @@ def _encoder(tokenizer: str) -> ChunkEncoder:
     return _encoders[key]
 
 
-def _slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
-    """Rows in groups of some million characters."""
-    held_keys, held, size = [], [], 0
-    for key, text in zip(keys, texts, strict=True):
-        held_keys.append(key.as_py())
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= SLICE_CHARS:
-            yield held_keys, held
-            held_keys, held, size = [], [], 0
-    if held:
-        yield held_keys, held
+def _slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list[int], pa.Array]]:
+    """Rows in groups of some million bytes; a null text is empty."""
+    texts = pc.fill_null(texts, "")
+    before = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(keys):
+        done = before[at - 1] if at else 0
+        to = int(np.searchsorted(before, done + SLICE_BYTES)) + 1
+        yield keys.slice(at, to - at).to_pylist(), texts.slice(at, to - at)
+        at = to
 
 
 MANIFEST = "file string, first_key long, part int, n_ids long, n_docs long"
@@ -196,9 +195,9 @@ def _writing(tokenizer: str, end_id: int, bits: int, folder: str):
                     files.create_dir(path, recursive=True)
                     sink = files.open_output_stream(f"{path}/{name}")
                     writer = Writer(sink, bits)
-                end = struct.pack("<I", end_id)
-                for key, ids in zip(keys, _encoder(tokenizer).encode(texts), strict=True):
-                    writer.add(key, np.frombuffer(ids + end, "<u4"))
+                ids, bounds = _encoder(tokenizer).encode_all(texts, end_id)
+                for key, low, high in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    writer.add(key, ids[low:high])
         if writer is not None:
             writer.close()
             sink.close()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip_unicode
+from textloom.sources.ordinals import numbered, placed
 
 TEXT_SUFFIXES = (".txt",)
 JSON_SUFFIXES = (".jsonl", ".jsonl.gz", ".jsonl.zst")
@@ -31,21 +32,15 @@ def skipped_files(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_files(spark, folder).where("not supported").select("path")
 
 
+def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``shard, doc_id, value``: lines with their file and their number in it."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return numbered(placed(reader.text(folder)), "doc_id").withColumnRenamed("file", "shard")
+
+
 def _text_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of ``*.txt``. A large file is read in splits: ``doc_id`` is the byte
-    at which the split starts, and lines keep their order within it."""
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.txt")
-        .text(folder)
-        .select(
-            F.col("_metadata.file_path").alias("shard"),
-            F.col("_metadata.file_block_start").alias("doc_id"),
-            # rises in reading order inside a split; only this order is used
-            F.monotonically_increasing_id().alias("line_no"),
-            strip_unicode(F.col("value")).alias("line"),
-        )
-    )
+    """Lines of ``*.txt`` that are not blank; a huge file is many rows."""
+    rows = _lines(spark, folder, "*.txt").select("shard", "doc_id", strip_unicode(F.col("value")).alias("line"))
     return rows.where("line <> ''")
 
 
@@ -53,20 +48,10 @@ def _json_documents(spark: SparkSession, folder: str, field: str) -> DataFrame:
     """Documents of JSON-lines files, read line by line through the codec that belongs to
     the suffix (``.zst`` needs the cluster's Hadoop codec). ``field`` holds a text or a
     list of texts; a line may also be the text itself."""
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl*")
-        .text(folder)
-        .where(F.trim("value") != "")
-    )
+    rows = _lines(spark, folder, "*.jsonl*").where(F.trim("value") != "")
     texts = F.from_json("value", f"`{field}` array<string>")[field]
     text = F.coalesce(F.from_json("value", f"`{field}` string")[field], F.get_json_object("value", "$"))
-    return rows.select(
-        F.col("_metadata.file_path").alias("shard"),
-        F.col("_metadata.file_block_start").alias("doc_id"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.coalesce(texts, F.array(text)).alias("lines"),
-    )
+    return rows.select("shard", "doc_id", F.coalesce(texts, F.array(text)).alias("lines"))
 
 
 def clean_document_lines(docs: DataFrame) -> DataFrame:
@@ -77,8 +62,9 @@ def clean_document_lines(docs: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, folder: str, field: str = "text") -> DataFrame:
-    """``shard, doc_id, lines`` of all corpus files below a folder. The file is the
-    shard; blank lines in text files do not separate documents.
+    """``shard, doc_id, lines`` of all corpus files below a folder. The file is the shard
+    and the number of the line ``doc_id``, so nothing follows how files are split for
+    reading; blank lines in text files do not separate documents.
 
     Raises when the folder holds no readable file.
     """
@@ -86,15 +72,9 @@ def read_corpus(spark: SparkSession, folder: str, field: str = "text") -> DataFr
     found = {kind: not files.where(_ends_with(F.col("path"), kind)).isEmpty() for kind in (TEXT_SUFFIXES, JSON_SUFFIXES)}
     if not any(found.values()):
         raise FileNotFoundError(f"no files ending in {', '.join(TEXT_SUFFIXES + JSON_SUFFIXES)} below {folder}")
-    at = F.struct("doc_id", "line_no").alias("at")
     parts = []
     if found[TEXT_SUFFIXES]:
-        # one row per line, so that a huge file does not become one row
-        parts.append(_text_lines(spark, folder).select("shard", at, F.array("line").alias("lines")))
+        parts.append(_text_lines(spark, folder).select("shard", "doc_id", F.array("line").alias("lines")))
     if found[JSON_SUFFIXES]:
-        parts.append(clean_document_lines(_json_documents(spark, folder, field)).select("shard", at, "lines"))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # one number that sorts like (split, line): a split starts at a multiple of at
-    # least a megabyte, and line ids of one split share their upper bits
-    number = F.col("at.doc_id") * F.lit(1 << 12) + F.col("at.line_no") % F.lit(1 << 33)
-    return rows.select("shard", number.alias("doc_id"), "lines")
+        parts.append(clean_document_lines(_json_documents(spark, folder, field)).select("shard", "doc_id", "lines"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

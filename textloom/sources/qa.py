@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import qa_features as qa
+from textloom.sources.ordinals import numbered, placed
 
 _ANSWERS = "answers: array<struct<text: string, answer_start: int>>"
 SQUAD_SCHEMA = (
@@ -25,11 +26,17 @@ BYTES_SCHEMA = (
 )
 
 
-def _json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
-    """Records with ``file`` and ``record``, which rises in reading order inside a file."""
-    reader = spark.read.schema(schema).option("multiLine", str(multi_line).lower())
-    raw = reader.option("pathGlobFilter", "*.json" if multi_line else "*.json{,l}").json(path)
-    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record"))
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole files of one JSON value, with ``file``."""
+    raw = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A record per line, with ``file`` and ``record``, the number of the line over all files."""
+    lines = numbered(placed(spark.read.option("pathGlobFilter", "*.json{,l}").text(path)), "record", over_files=True)
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("v"), "file", "record")
+    return parsed.select("v.*", "file", "record")
 
 
 def _place(*parts) -> Column:
@@ -96,9 +103,9 @@ def shape_html(raw: DataFrame, is_train: bool, all_questions: bool = False) -> D
 
 def read_byte_qa(spark: SparkSession, path: str, is_train: bool, language: str = "korean", **_) -> DataFrame:
     """JSON lines with byte offsets: one language, no yes/no questions. The id is a
-    digest of the question and its text with the record's number in the scan, which
-    keeps equal records apart: a running number would need one order over all rows."""
-    return shape_bytes(_json(spark, path, BYTES_SCHEMA, multi_line=False), language)
+    digest of the question and its text with the number of its line over all files, so
+    it is the same however the files are split for reading."""
+    return shape_bytes(_json_lines(spark, path, BYTES_SCHEMA), language)
 
 
 def shape_bytes(raw: DataFrame, language: str) -> DataFrame:

@@ -154,10 +154,7 @@ def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = features(spark, sf_dir)
-    logits = results(spark, sf_dir, windows)
-    complete = pr.complete_questions(windows, logits).select("id")
-    spans = pr.candidate_spans(windows.join(complete, "id", "left_semi"), logits, PREDICT)
-    return pr.n_best(spans, qa.eval_examples(question_set(spark, sf_dir), ["doc_id"]), PREDICT)
+    return pr.ranked(windows, results(spark, sf_dir, windows), PREDICT)
 
 
 DECISION_SQL = (
@@ -196,8 +193,7 @@ def null_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole prediction job, answers trimmed to their tokens."""
     windows = features(spark, sf_dir)
-    examples = qa.eval_examples(question_set(spark, sf_dir), ["doc_id"])
-    out = pr.predict(windows, results(spark, sf_dir, windows), examples, vocabulary(spark, sf_dir), PREDICT)
+    out = pr.predict(windows, results(spark, sf_dir, windows), vocabulary(spark, sf_dir), PREDICT)
     return out.select("id", "text", F.round("null_score_diff", 6).alias("null_score_diff"))
 
 

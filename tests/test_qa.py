@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 
 import pytest
@@ -130,51 +131,32 @@ def test_byte_annotations(spark):
 
 
 def brute_predictions(features, logits, words, n_best, max_len, negative, threshold):
-    """The ranked walk over all candidates of a question, one after the other."""
-    pool, null = [], (1000000, 0, 0)
-    for w, f in enumerate(features):
-        s, e = logits[w]
-        rank = lambda xs: sorted(range(len(xs)), key=lambda i: -xs[i])[:n_best]
-        if s[0] + e[0] < null[0]:
-            null = (s[0] + e[0], s[0], e[0])
-        for i in rank(s):
-            for j in rank(e):
-                off, size = f["doc_offset"], f["paragraph_len"]
-                if not (off <= i < off + size and off <= j < off + size) or not f["token_is_max_context"][i - off]:
-                    continue
-                if j < i or j - i + 1 > max_len:
-                    continue
-                orig = f["token_to_orig_map"]
-                text = " ".join(words[orig[i - off] : orig[j - off] + 1])
-                pool.append((s[i], e[j], text))
+    """By definition: of every text its best valid span, in order, the first ``n_best``."""
+    spans = {}
+    for w, (f, (s, e)) in enumerate(zip(features, logits, strict=True)):
+        starts, ends = (sorted(range(len(x)), key=lambda i: (-x[i], i))[:n_best] for x in (s, e))
+        for (a, i), (b, j) in itertools.product(enumerate(starts), enumerate(ends)):
+            low, high = i - f["doc_offset"], j - f["doc_offset"]
+            if 0 <= low <= high < f["paragraph_len"] and high - low < max_len and f["token_is_max_context"][low]:
+                text = " ".join(words[f["token_to_orig_map"][low] : f["token_to_orig_map"][high] + 1])
+                spans.setdefault(text, []).append((-(s[i] + e[j]), w, a, b, s[i], e[j]))
+    empty = min((s[0] + e[0], w, s[0], e[0]) for w, (s, e) in enumerate(logits))
     if negative:
-        pool.append((null[1], null[2], ""))
-    pool.sort(key=lambda c: -(c[0] + c[1]))
-    best, seen = [], set()
-    for c in pool:
-        if len(best) == n_best:
-            break
-        if c[2] in seen and c[2]:
-            continue
-        seen.add(c[2])
-        best.append(c)
-    if negative:
-        if "" not in seen:
-            best.append((null[1], null[2], ""))
-        if len(best) == 1:
-            best.insert(0, (0.0, 0.0, "empty"))
-    if not best:
-        best.append((0.0, 0.0, "empty"))
-    if not negative:
-        return best, best[0][2]
-    top = next(c for c in best if c[2])
-    return best, "" if null[0] - top[0] - top[1] > threshold else top[2]
+        spans[""] = [(-empty[0], len(features), 0, 0, *empty[2:])]
+    kept = sorted((min(of), text) for text, of in spans.items())[:n_best]
+    best = [(*span[4:], text) for span, text in kept]
+    if negative and all(text for _, _, text in best):
+        best.append((*empty[2:], ""))
+    if len(best) == negative:
+        best.insert(0, (0.0, 0.0, "empty"))
+    top = next(entry for entry in best if entry[2])
+    return best, "" if negative and empty[0] - top[0] - top[1] > threshold else top[2]
 
 
 @pytest.mark.parametrize("negative", [True, False])
 def test_predictions_equal_the_loop(spark, negative):
     rng = random.Random(11 + negative)
-    feats, results, examples, want, want_best = [], [], [], {}, {}
+    feats, results, want, want_best = [], [], {}, {}
     for q in range(40):
         words = [rng.choice(["a", "b", "c", "d"]) for _ in range(rng.randint(1, 12))]
         qid = f"q_{q}"
@@ -189,23 +171,26 @@ def test_predictions_equal_the_loop(spark, negative):
                 "paragraph_len": size,
                 "token_to_orig_map": sorted(rng.randrange(len(words)) for _ in range(size)),
                 "token_is_max_context": [rng.random() < (0.8 if q else 0.0) for _ in range(size)],
+                "input_ids": list(range(14)),
             }
+            f["window_words"] = words[f["token_to_orig_map"][0] : f["token_to_orig_map"][-1] + 1]
             # few distinct values, so that ties matter
             sl, el = ([float(rng.randint(-3, 3)) for _ in range(14)] for _ in range(2))
             own.append(f)
             logits.append((sl, el))
             feats.append(tuple(f.values()))
             results.append((f["unique_id"], sl, el))
-        examples.append((qid, words))
         want_best[qid], want[qid] = brute_predictions(own, logits, words, 4, 3, negative, 0.0)
     f = spark.createDataFrame(
         feats,
-        "id string, unique_id string, window int, doc_offset int, paragraph_len int, token_to_orig_map array<int>, token_is_max_context array<boolean>",
+        "id string, unique_id string, window int, doc_offset int, paragraph_len int, token_to_orig_map array<int>, "
+        "token_is_max_context array<boolean>, input_ids array<int>, window_words array<string>",
     )
     r = spark.createDataFrame(results, "unique_id string, start_logits array<double>, end_logits array<double>")
-    e = spark.createDataFrame(examples, "id string, doc_tokens array<string>")
     config = pr.PredictConfig(4, 3, negative)
-    ranked = pr.n_best(pr.candidate_spans(f, r.union(r.limit(3)), config), e, config)
+    tops = pr.best_of_windows(f, r.union(r.limit(3)), config)
+    assert all(len(row.top) <= 4 for row in tops.collect())
+    ranked = pr.n_best(tops, config)
     for row in ranked.collect():
         assert [(x.start_logit, x.end_logit, x.text) for x in row.nbest] == want_best[row.id], row.id
         assert sum(row.probabilities) == pytest.approx(1.0)
@@ -259,14 +244,14 @@ def test_predict_end_to_end(spark, vocab):
     sl = [5.0 if i == at else 0.0 for i in range(32)]
     el = [5.0 if i == at + 1 else 0.0 for i in range(32)]
     results = spark.createDataFrame([(f.unique_id, sl, el)], "unique_id string, start_logits array<double>, end_logits array<double>")
-    out = pr.predict(features, results, qa.eval_examples(rows, []), vocab, pr.PredictConfig(5, 8, True)).first()
+    out = pr.predict(features, results, vocab, pr.PredictConfig(5, 8, True)).first()
     # the word is "truck." and the tokens are "tru ##ck"
     assert (out.id, out.text) == ("q-1", "truck")
     with pytest.raises(ValueError, match="order"):
         sc.question_report(qa.eval_examples(rows, []), out_table(spark))
     report = sc.question_report(
         qa.eval_examples(rows.withColumn("place", F.lit(0)), []),
-        pr.predict(features, results, qa.eval_examples(rows, []), vocab, pr.PredictConfig(5, 8, True)),
+        pr.predict(features, results, vocab, pr.PredictConfig(5, 8, True)),
         version_2=True,
     )
     values = {r.metric: r.value for r in report.collect()}

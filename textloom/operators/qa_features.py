@@ -245,6 +245,9 @@ def document_windows(rows: DataFrame, config: WindowConfig, carry: list[str], wi
         ]
         if with_flags:
             fields.append(max_context(i, n, room, stride).alias("token_is_max_context"))
+            # the words its tokens are of; the first one has the number of the first token
+            first, last = F.col("token_word")[start], F.col("token_word")[F.least(start + room, n) - 1]
+            fields.append(F.slice("words", first + 1, last - first + 1).alias("window_words"))
         return F.struct(*fields)
 
     windows = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), window))
@@ -271,7 +274,7 @@ def frame_windows(windows: DataFrame, vocab: Vocabulary, config: WindowConfig, c
         (F.size("query") + 2).alias("doc_offset"),
         F.size("doc_ids").alias("paragraph_len"),
         F.col("doc_words").alias("token_to_orig_map"),
-        *(["token_is_max_context"] if "token_is_max_context" in windows.columns else []),
+        *[c for c in ("token_is_max_context", "window_words") if c in windows.columns],
     )
 
 
@@ -324,6 +327,7 @@ def eval_features(paragraphs: DataFrame, vocab: Vocabulary, config: WindowConfig
         "paragraph_len",
         "token_to_orig_map",
         "token_is_max_context",
+        "window_words",
     )
 
 

@@ -117,7 +117,7 @@ def evaluate_qa(
     features: DataFrame, results: DataFrame, examples: DataFrame, vocab: Vocabulary, config: FineTuneConfig
 ) -> DataFrame:
     """``(metric, value)`` from window logits."""
-    predictions = qa_predict.predict(features, results, examples, vocab, config.predict)
+    predictions = qa_predict.predict(features, results, vocab, config.predict)
     return qa_scores.question_report(examples, predictions, config.predict.version_2_with_negative)
 
 

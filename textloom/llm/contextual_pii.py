@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.tables import saved
+from textloom.llm.tables import own_column, saved, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -222,11 +222,11 @@ def masked(df: DataFrame, key: str, text: str) -> DataFrame:
     found = find(df, key, text)
     both = found.base.select("key", "hash", "spans").unionByName(found.added.select("key", "hash", F.col("added").alias("spans")))
     spans = both.groupBy("key", "hash").agg(
-        F.array_sort(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("_spans")
+        F.array_sort(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("_found")
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
     merged = F.aggregate(
-        F.col("_spans"),
+        F.col("_found"),
         none,
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
@@ -237,19 +237,13 @@ def masked(df: DataFrame, key: str, text: str) -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
     )
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    given = F.col(f"row.`{text}`")
+    until = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("merged", i - 1)["end"]).cast("int")
     parts = F.transform(
-        "_merged",
-        lambda s, i: F.concat(
-            F.substring(
-                F.col(text),
-                F.when(i == 0, F.lit(0)).otherwise(F.get("_merged", i - 1)["end"]).cast("int") + 1,
-                (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("_merged", i - 1)["end"])).cast("int"),
-            ),
-            F.get(names, s["kind"]),
-        ),
+        "merged", lambda s, i: F.concat(F.substring(given, until(i) + 1, s["start"].cast("int") - until(i)), F.get(names, s["kind"]))
     )
-    rest = F.substring(F.col(text), F.element_at("_merged", -1)["end"].cast("int") + 1, F.length(F.col(text)))
-    changed = F.when(F.col("_spans").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text))
-    rows = df.withColumns({"_key": F.col(key).cast("long"), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = rows.join(spans.withColumnsRenamed({"key": "_k", "hash": "_h"}), (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
-    return joined.withColumn("_merged", merged).withColumn(text, changed).select(*df.columns)
+    rest = F.substring(given, F.element_at("merged", -1)["end"].cast("int") + 1, F.length(given))
+    changed = F.when(F.col("_found").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(given).alias(text)
+    rows = df.select(whole_row(df), F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    joined = rows.join(spans, ["key", "hash"], "left").withColumn("merged", merged)
+    return joined.select(*[changed if c == text else own_column(c) for c in df.columns])

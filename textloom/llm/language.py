@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.tables import free_name
+
 UNDETERMINED = "und"
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
@@ -226,8 +228,6 @@ def told(text: Column, model: Model | None) -> Column:
 
 def predict(df: DataFrame, text: str, model: Model | None, kept: dict[str, Column]) -> DataFrame:
     """The columns ``kept`` of every row with ``lang_pred, score, ambiguous``."""
-    held = "_told"
-    while held in kept:
-        held += "_"
+    held = free_name("_told", list(kept))
     rows = df.select(*[c.alias(n) for n, c in kept.items()], told(F.col(text), model).alias(held))
     return rows.select(*[F.col(f"`{n}`") for n in kept], *[F.col(f"{held}.{c}") for c in PREDICTED])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from textloom.llm import words
 from textloom.llm.components import components
 from textloom.llm.simhash import variants
-from textloom.llm.tables import saved
+from textloom.llm.tables import own_column, saved, whole_row
 
 SHINGLE, SIMILARITY = 5, 0.8
 INDEXED = 3
@@ -384,7 +384,7 @@ def groups(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def deduplicate(df: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of ``df`` that stay, one of each group."""
-    kept = groups(df, key, text).where(F.col("key") == F.col("component")).select(F.col("key").alias("_kept"))
-    rows = df.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
+    kept = groups(df, key, text).where(F.col("key") == F.col("component")).select("key")
+    rows = df.select(whole_row(df), F.col(key).cast("long").alias("key")).join(kept, "key", "left_semi")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(own_column(text)))
+    return rows.withColumn("place", place).where("place = 1").select(*[own_column(c) for c in df.columns])

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.tables import saved
+from textloom.llm.tables import free_name, saved
 
 HASH_BITS = 60
 SPARE_BITS = 3
@@ -149,6 +149,8 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
-    """``df`` (unique keys) as one Parquet folder per shard."""
-    rows = df.join(assigned.select(key, "shard", "page"), key)
-    rows.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """``df`` (unique keys) as one Parquet folder per shard: ``shard=…/page=…``, with an
+    underscore more where ``df`` has columns of these names."""
+    shard, page = (free_name(name, df.columns) for name in ("shard", "page"))
+    places = assigned.select(key, F.col("shard").alias(shard), F.col("page").alias(page))
+    df.join(places, key).repartition(shard, page).write.partitionBy(shard, page).parquet(path)

@@ -31,9 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom.llm import words
-from textloom.llm.tables import saved
+from textloom.llm.tables import saved, whole_row
 
 WINDOW, PHRASE = 50, 10
 PHRASE_BASE, FIRST_BASE, SECOND_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
@@ -212,14 +213,18 @@ def repeated(rows: DataFrame) -> DataFrame:
     return saved(copies.unionByName(marks).groupBy("key").agg(F.collect_list("mark").alias("marks")))
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, with_text: bool = False, kept: list[str] = ()) -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` of every row, the columns ``kept``, and
-    ``text`` on request: the kept words joined by one space, or the text as it was where
-    none was removed."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"_{c}") for c in kept])
+def remove_repeats(df: DataFrame, key: str, text: str, with_text: bool = False, with_row: bool = False) -> DataFrame:
+    """``key, n_words, n_removed, kept_sha256`` of every row; on request its other columns
+    as one, ``row``, and ``text``: the kept words joined by one space, or the text as it
+    was where none was removed."""
+    others = [whole_row(df, key, text)] if with_row and len(df.columns) > 2 else []
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *others)
     rows = rows.where(F.col("key").isNotNull())
     marked = rows.join(repeated(rows.select("key", "text")), "key", "left")
-    marked = marked.select("key", "text", "marks", *[f"_{c}" for c in kept])
-    types = [f", `{n}` {t}" for n, t in marked.dtypes[3:]]
-    schema = KEPT + "".join(types) + (", text string" if with_text else "")
-    return marked.mapInArrow(_removing(with_text), schema).withColumnsRenamed({f"_{c}": c for c in kept})
+    marked = marked.select("key", "text", "marks", *(["row"] if others else []))
+    schema = StructType.fromDDL(KEPT)
+    for field in marked.schema.fields[3:]:
+        schema = schema.add(field)
+    if with_text:
+        schema = schema.add("text", "string")
+    return marked.mapInArrow(_removing(with_text), schema)

@@ -22,6 +22,24 @@ def saved(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def whole_row(df: DataFrame, *but: str) -> Column:
+    """All columns of ``df`` (but some) as one, named ``row``: out of the way of an
+    operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in but]).alias("row")
+
+
+def own_column(name: str) -> Column:
+    """A column of a :func:`whole_row`."""
+    return F.col(f"row.`{name}`").alias(name)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores as it takes."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

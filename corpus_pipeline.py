@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import best_fit, contextual_pii, language, near_copies, substrings
-from textloom.llm.tables import word_count
+from textloom.llm.tables import own_column, whole_row, word_count
 from textloom.session import shared_folder, ship_package
 
 LEAST_SCORE = 0.4
@@ -25,24 +25,25 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     about as likely as not. A missing ``lang`` is filled in."""
     ship_package(spark)
     model = language.train(docs, "text", "lang")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), language.told(F.col("text"), model).alias("told"))
+    named = docs.select(whole_row(docs), language.told(F.col("text"), model).alias("told"))
     kept = named.where((F.col("told.lang_pred") != language.UNDETERMINED) & (F.col("told.score") >= LEAST_SCORE))
     lang = F.coalesce("row.lang", "told.lang_pred").alias("lang")
-    return kept.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    return kept.select(*[lang if c == "lang" else own_column(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies."""
     ship_package(spark)
-    return near_copies.deduplicate(docs, "doc_id", "text").select(*docs.columns)
+    return near_copies.deduplicate(docs, "doc_id", "text")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; what is left empty goes."""
     ship_package(spark)
-    kept = substrings.remove_repeats(docs, "doc_id", "text", with_text=True, kept=[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = substrings.remove_repeats(docs, "doc_id", "text", with_text=True, with_row=True)
     left = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return counted(left.withColumnRenamed("key", "doc_id"), docs.columns)
+    own = {"doc_id": F.col("key").alias("doc_id"), "text": F.col("text")}
+    return counted(left.select(*[own.get(c, own_column(c)) for c in docs.columns]), docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``n_chars`` follows the text."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*columns)
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
 STAGES = [

@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 PART = 1 << 20
-SLICE_CHARS, SLICE_TEXTS = 1 << 20, 256
+SLICE_CHARS, SLICE_TEXTS = 1 << 18, 128
 SHARPNESS = 8.0
 AMBIGUOUS = 0.5  # the runner-up's share of the winner's probability
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 MASK = (1 << 64) - 1
 BYTE_BASE = 0xD6E8FEB86659FD93
 

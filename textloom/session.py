@@ -32,7 +32,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 #: What goes to a Python worker at once: rows by their bytes, as texts may be long.
-BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -14,6 +14,21 @@ def test_label_map_sorts_by_type(spark):
     assert [(r.label, r.id) for r in labels.label_map(ints).collect()] == [(2, 0), (10, 1)]
 
 
+def test_many_labels(spark):
+    df = spark.range(3000).selectExpr("id AS key", "concat('l', lpad(id % 1000, 4, '0')) AS label")
+    assert [(r.label, r.id) for r in labels.label_map(df).orderBy("id").collect()] == [(f"l{i:04}", i) for i in range(1000)]
+    # three rows each: a share of 0.6 for all, so the first labels get the rows that floors leave over
+    out = labels.stratified_split(df, "key").groupBy("label").agg(F.sum(F.col("is_test").cast("int")).alias("n")).collect()
+    assert {r.label: r.n for r in out} == {f"l{i:04}": int(i < 600) for i in range(1000)}
+
+
+def test_split_without_labels(spark):
+    rows = spark.createDataFrame([(1, None), (2, None)], "key long, label string")
+    assert [r.is_test for r in labels.stratified_split(rows, "key").collect()] == [False, False]
+    assert labels.stratified_split(rows.limit(0), "key").collect() == []
+    assert labels.label_map(rows).collect() == []
+
+
 def test_unknown_label_is_an_error(spark):
     known = labels.label_map(spark.createDataFrame([("a",)], "label string"))
     rows = spark.createDataFrame([("a",), ("b",)], "label string")

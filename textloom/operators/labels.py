@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import draws
 from textloom.functions.arrays import let, pad_to
+from textloom.operators.ordering import numbered
 from textloom.operators.vocabulary import CLS, PAD, SEP, Vocabulary
 from textloom.operators.wordpiece import tokenise_text
+from textloom.session import write_through
 
 SPLIT_BUCKETS = 4096
 
 
 def label_map(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, id)``: the distinct labels in sorted order, numbered from 0. Strings
-    sort as strings, numbers as numbers. One row per label is sorted, however many
-    rows carry it."""
+    sort as strings, numbers as numbers."""
     labels = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("id"))
+    return numbered(labels, F.col("label"), name="id").select("label", F.col("id").cast("int").alias("id"))
 
 
 def encode_labels(df: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
@@ -30,23 +33,19 @@ def encode_labels(df: DataFrame, labels: DataFrame, label: str = "label") -> Dat
     return mapped.withColumn("_id", F.coalesce("_id", unknown)).drop("label", "_label").withColumnRenamed("_id", label)
 
 
-def test_counts(df: DataFrame, label: str, test_share: float) -> DataFrame:
-    """Test rows per label: ``ceil(share * n)`` in total, by largest remainder."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col(label).isNotNull())
-    # one row per label
-    everything = Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("total", F.sum("n").over(everything)).withColumn(
-        "n_test", F.ceil(F.col("total") * F.lit(test_share))
-    )
-    share = F.col("n") * F.col("n_test") / F.col("total")
-    sizes = sizes.withColumn("base", F.floor(share)).withColumn("rest", F.round(share - F.floor(share), 9))
-    missing = F.col("n_test") - F.sum("base").over(everything)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), label)
-    return sizes.select(
-        label,
-        "n",
-        (F.col("base") + F.when(F.row_number().over(order) <= missing, 1).otherwise(0)).cast("bigint").alias("n_test"),
+def test_counts(sizes: DataFrame, label: str, test_share: float) -> DataFrame:
+    """Test rows per label, ``ceil(share * n)`` in total, by largest remainder; ``sizes``
+    has ``n`` rows for each label."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    n_test = math.ceil(total * test_share)
+    share = F.col("n") * n_test / max(total, 1)
+    shares = sizes.select(
+        label, "n", F.floor(share).alias("base"), F.round(share - F.floor(share), 9).alias("rest")
     )
+    placed = numbered(shares, F.desc("rest"), F.col(label), name="place")
+    missing = n_test - (placed.agg(F.sum("base")).first()[0] or 0)
+    extra = F.when(F.col("place") < missing, 1).otherwise(0)
+    return placed.select(label, "n", (F.col("base") + extra).cast("bigint").alias("n_test"))
 
 
 def stratified_split(
@@ -58,29 +57,30 @@ def stratified_split(
     a histogram of the draws finds the bucket in which the label's quota ends,
     only that bucket is ranked, and its last test row gives a cut that every row
     is compared with. Rows without a label stay in training.
+
+    What has one row per label is a table, joined as its size allows.
     """
     draw = draws.seed(seed, "split", F.col(key))
-    keyed = df.select(label, key, draw.alias("draw")).withColumn(
-        "bucket", F.floor(F.col("draw") * SPLIT_BUCKETS / draws.MODULUS).cast("int")
-    )
-    counts = keyed.groupBy(label, "bucket").agg(F.count("*").alias("m"))
+    bucket = F.floor(F.col("draw") * SPLIT_BUCKETS / draws.MODULUS).cast("int").alias("bucket")
+    drawn = df.where(F.col(label).isNotNull()).select(label, key, draw.alias("draw"))
+    keyed = write_through(drawn.select("*", bucket))
+    counts = write_through(keyed.groupBy(label, "bucket").agg(F.count("*").alias("m")))
+    quotas = test_counts(counts.groupBy(label).agg(F.sum("m").alias("n")), label, test_share)
     # at most SPLIT_BUCKETS rows per label
     upto = Window.partitionBy(label).orderBy("bucket")
-    hist = counts.withColumn("upto", F.sum("m").over(upto)).join(test_counts(df, label, test_share), label)
+    hist = counts.withColumn("upto", F.sum("m").over(upto)).join(quotas, label)
     ends = hist.where((F.col("upto") >= F.col("n_test")) & (F.col("upto") - F.col("m") < F.col("n_test"))).select(
         label, "bucket", (F.col("n_test") - F.col("upto") + F.col("m")).alias("need")
     )
     last = Window.partitionBy(label, "bucket").orderBy("draw", key)
-    cuts = (
-        keyed.join(F.broadcast(ends), [label, "bucket"])
+    cuts = write_through(
+        keyed.join(write_through(ends), [label, "bucket"])
         .withColumn("rank", F.row_number().over(last))
         .where(F.col("rank") == F.col("need"))
         .select(label, F.struct("draw", key).alias("cut"))
     )
     below = F.struct(draw.alias("draw"), F.col(key)) <= F.col("cut")
-    return (
-        df.join(F.broadcast(cuts), label, "left").withColumn("is_test", F.coalesce(below, F.lit(False))).drop("cut")
-    )
+    return df.join(cuts, label, "left").withColumn("is_test", F.coalesce(below, F.lit(False))).drop("cut")
 
 
 def classification_features(

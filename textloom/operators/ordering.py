@@ -35,6 +35,17 @@ def block_offsets(blocked: DataFrame, value: Column, keys: tuple[str, ...] = ())
     return sums.select(*keys, "block", offset.alias("_offset"))
 
 
+def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """Add the 0-based place of each row in a total order."""
+    blocked = ordered_blocks(df, *order)
+    inside = Window.partitionBy("block").orderBy(*order)
+    return (
+        blocked.join(F.broadcast(block_offsets(blocked, F.lit(1))), "block")  # one row per block
+        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset"))
+        .drop("block", "_offset")
+    )
+
+
 def running_sum(blocked: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
     """Inclusive running sum of ``value`` over the whole order."""
     offsets = block_offsets(blocked, value)

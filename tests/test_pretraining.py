@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,10 +48,10 @@ def skewed_docs():
     return docs
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 11])
-def test_packing_equals_the_loop(spark, skewed_docs, blocks):
+@pytest.mark.parametrize("blocks, fan", [(1, 2), (3, 256), (11, 2), (40, 3)])
+def test_packing_equals_the_loop(spark, skewed_docs, blocks, fan):
     df = spark.createDataFrame(skewed_docs, "shard string, doc_id bigint, lens array<int>")
-    got = numbers(packing.pack_lines(df, 100, blocks=blocks).collect())
+    got = numbers(packing.pack_lines(df, 100, blocks=blocks, fan=fan).collect())
     assert got == brute_packing(skewed_docs, 100)
 
 
@@ -58,7 +59,7 @@ def test_short_targets_do_not_depend_on_blocks(spark, skewed_docs):
     df = spark.createDataFrame(skewed_docs, "shard string, doc_id bigint, lens array<int>")
 
     def run(blocks):
-        rows = packing.pack_lines(df, 100, 0.5, dupe_factor=2, blocks=blocks).collect()
+        rows = packing.pack_lines(df, 100, 0.5, dupe_factor=2, blocks=blocks, fan=2).collect()
         return {(r.shard, r.dupe, r.doc_id): r.runs for r in rows}
 
     one, many = run(1), run(9)
@@ -169,6 +170,32 @@ def test_chosen_spans_hold_the_rules():
         assert all(b in starts and e in stops for b, e in chosen)
 
 
+def test_composed_steps_equal_steps_in_a_row():
+    rng = random.Random(5)
+    for case in range(30):
+        blocks = []
+        for block in range(rng.randint(2, 6)):
+            lens = [rng.randint(1, rng.choice([3, 30])) for _ in range(rng.randint(1, 25))]
+            targets = [rng.randint(5, 40) for _ in lens]
+            row = {"shard": "s", "dupe": 0, "block": block, "doc_id": 1, "lens": [lens], "targets": [targets], "max_target": 40}
+            blocks.append(packing._block_steps(pd.DataFrame(row)))
+        steps = pd.concat(blocks, ignore_index=True)
+        composed = packing._compose(steps.assign(parent=7)).iloc[0]
+        assert composed.block == 7 and composed.upto[-1] >= min(40, composed.total)
+        for missing in range(41):
+            state, closed = np.array([missing]), 0
+            for step in steps.itertuples(index=False):
+                state, more = packing._through(step, state)
+                closed += more[0]
+            assert [x.tolist() for x in packing._through(composed, np.array([missing]))] == [state.tolist(), [closed]]
+
+
+def test_long_ngrams_are_chosen():
+    begin, end = np.arange(200), np.arange(200) + 1
+    sizes = {e - b for s in range(40) for b, e in masking.choose_spans(begin, end, 40, 80, s)}
+    assert max(sizes) > 20 and 1 in sizes
+
+
 def test_sizes_are_drawn_with_the_right_weights():
     """Against a direct simulation: draw a size with weight 1/n, pop a candidate."""
     n_words, budget, runs = 400, 80, 300

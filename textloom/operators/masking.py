@@ -15,7 +15,8 @@ from textloom.functions import draws
 from textloom.functions.arrays import contiguous, let, sliding
 from textloom.operators.vocabulary import MASK, SPECIAL_KIND, SUFFIX_KIND, Vocabulary
 
-MAX_NGRAM = 16
+#: Draws of the n-grams at one place are so many apart, or further for longer ones.
+LEAST_STRIDE = 16
 MASK_SHARE, KEEP_SHARE = 0.8, 0.1
 
 
@@ -85,16 +86,15 @@ def _candidates(begin: np.ndarray, end: np.ndarray, max_ngram: int, seed: int) -
     """
     all_begin, all_end, all_time = [], [], []
     touching = end[:-1] == begin[1:]
-    for n in range(1, max_ngram + 1):
-        if len(begin) < n:
-            break
-        whole = np.ones(len(begin) - n + 1, dtype=bool)
-        for k in range(n - 1):
-            whole &= touching[k : k + len(whole)]
+    stride = max(LEAST_STRIDE, max_ngram + 1)
+    whole = np.ones(len(begin), dtype=bool)
+    for n in range(1, min(max_ngram, len(begin)) + 1):
+        if n > 1:
+            whole = whole[:-1] & touching[n - 2 :]
         first = np.flatnonzero(whole)
         rank = np.arange(len(first), dtype=np.int64)
-        first = first[np.argsort(draws.mix_numpy(seed, begin[first].astype(np.int64) * 2 * MAX_NGRAM + n), kind="stable")]
-        gap = -np.log(draws.to_unit(draws.mix_numpy(seed, (rank * 2 + 1) * MAX_NGRAM + n))) * n
+        first = first[np.argsort(draws.mix_numpy(seed, begin[first].astype(np.int64) * 2 * stride + n), kind="stable")]
+        gap = -np.log(draws.to_unit(draws.mix_numpy(seed, (rank * 2 + 1) * stride + n))) * n
         all_begin.append(begin[first])
         all_end.append(end[first + n - 1])
         all_time.append(np.cumsum(gap))
@@ -127,8 +127,6 @@ def select_spans(max_ngram: int | None):
     """A column function ``(begins, ends, budget, seed) -> array<struct<b,e>>``:
     the spans to mask, in order of position. No words, no spans."""
     size = max_ngram or 1
-    if size >= MAX_NGRAM:
-        raise ValueError(f"n-grams are limited to fewer than {MAX_NGRAM} words")
 
     @F.arrow_udf("array<struct<b:int,e:int>>")
     def select(begins: pa.Array, ends: pa.Array, budget: pa.Array, seed: pa.Array) -> pa.Array:

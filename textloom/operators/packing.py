@@ -8,8 +8,9 @@ cut into blocks and three passes give exactly the loop's result:
 1. each block is summarised as a step function: tokens still missing from the
    group that is open when the block begins -> tokens missing when it ends, and
    groups closed in between;
-2. per shard, the step functions are applied one after the other (one row per
-   shard and block), which gives each block its entry state;
+2. the step functions of ``FAN`` neighbouring blocks are composed to one, and again
+   until a shard has one; on the way back each gives its parts their entry states,
+   so that no task holds the blocks of a shard;
 3. each block, knowing its entry state, numbers its groups.
 
 Only line lengths take part; tokens are joined back afterwards.
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 
 from textloom.functions import draws
 from textloom.operators.ordering import block_count, ordered_blocks
+from textloom.session import write_through
 
 #: Lines in a block at most, on average; blocks follow the data.
 BLOCK_LINES = 1_000_000
+#: Step functions composed by one task.
+FAN = 256
 KEYS = ["shard", "dupe", "block"]
 
 
@@ -76,6 +80,7 @@ def _block_steps(rows: pd.DataFrame) -> pd.DataFrame:
             "shard": [first["shard"]],
             "dupe": [first["dupe"]],
             "block": [first["block"]],
+            "most": [int(first["max_target"])],
             "total": [int(before[n])],
             "upto": [upto[last]],
             "missing": [missing_after[last]],
@@ -87,28 +92,77 @@ def _block_steps(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 STEP_SCHEMA = (
-    "shard string, dupe int, block int, total bigint, upto array<bigint>, missing array<bigint>, "
+    "shard string, dupe int, block int, most bigint, total bigint, upto array<bigint>, missing array<bigint>, "
     "closed array<bigint>, fresh_missing bigint, fresh_closed bigint"
 )
 
 
+def _through(step, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens missing after a step, and groups closed in it, for tokens missing before."""
+    at = np.minimum(np.searchsorted(step.upto, missing, side="left"), len(step.upto) - 1)
+    fresh, open_after = missing == 0, missing > step.total
+    after = np.where(open_after, missing - step.total, np.where(fresh, step.fresh_missing, step.missing[at]))
+    closed = np.where(open_after, 0, np.where(fresh, step.fresh_closed, step.closed[at] + 1))
+    return after, closed
+
+
+def _compose(steps: pd.DataFrame) -> pd.DataFrame:
+    """The step function of neighbouring blocks: one row per block in, one row out."""
+    steps = steps.sort_values("block")
+    first, *later = steps.itertuples(index=False)
+    total, upto, missing, closed = first.total, first.upto, first.missing, first.closed
+    fresh_missing, fresh_closed = first.fresh_missing, first.fresh_closed
+    for s in later:
+        missing, more = _through(s, np.asarray(missing))
+        # groups that the blocks before leave open are closed here
+        upto = np.concatenate([upto, s.upto + total])
+        missing, closed = np.concatenate([missing, s.missing]), np.concatenate([closed + more, s.closed])
+        last = np.append((np.diff(missing) != 0) | (np.diff(closed) != 0), True)
+        upto, missing, closed = upto[last], missing[last], closed[last]
+        # no group misses more than the largest target
+        within = np.append(0, upto[:-1]) < s.most
+        upto, missing, closed = upto[within], missing[within], closed[within]
+        (fresh_missing,), (again,) = _through(s, np.array([fresh_missing]))
+        fresh_closed += again
+        total += s.total
+    row = (first.shard, first.dupe, first.parent, first.most, total, upto, missing, closed, fresh_missing, fresh_closed)
+    return pd.DataFrame([row], columns=[c for c in steps.columns if c != "parent"])
+
+
 def _entry_states(steps: pd.DataFrame) -> pd.DataFrame:
-    """Pass 2 for one shard: one row per block in, one row per block out."""
+    """Entry states of neighbouring blocks from that of the first (``entry_missing``,
+    ``entry_group``): one row per block in, one row per block out."""
     steps = steps.sort_values("block")
-    missing, group = 0, 0
+    missing, group = steps["entry_missing"].iloc[0], steps["entry_group"].iloc[0]
     out = []
     for s in steps.itertuples(index=False):
         out.append((s.shard, s.dupe, s.block, missing, group))
-        if missing == 0:
-            missing, group = s.fresh_missing, group + s.fresh_closed
-        elif missing > s.total:
-            missing -= s.total
-        else:
-            j = int(np.searchsorted(s.upto, missing, side="left"))
-            missing, group = int(s.missing[j]), group + 1 + int(s.closed[j])
+        (missing,), (closed,) = _through(s, np.array([missing]))
+        group += closed
     return pd.DataFrame(out, columns=["shard", "dupe", "block", "entry_missing", "entry_group"])
 
 
+ENTRY_SCHEMA = "shard string, dupe int, block int, entry_missing bigint, entry_group bigint"
+
+
+def entry_states(steps: DataFrame, blocks: int, fan: int = FAN) -> DataFrame:
+    """Pass 2: the state in which each block begins, by composing up and walking down."""
+    parent = F.floor(F.col("block") / fan).cast("int").alias("parent")
+    levels = [write_through(steps)]
+    while blocks > fan:
+        blocks = -(-blocks // fan)
+        above = levels[-1].select("*", parent).groupBy("shard", "dupe", "parent").applyInPandas(_compose, STEP_SCHEMA)
+        levels.append(write_through(above))
+    start = [F.lit(0).cast("bigint").alias(c) for c in ("entry_missing", "entry_group")]
+    entries = levels[-1].select("shard", "dupe", F.lit(0).alias("parent")).distinct().select("*", *start)
+    for level in reversed(levels):
+        known = level.select("*", parent).join(entries, ["shard", "dupe", "parent"])
+        entries = known.groupBy("shard", "dupe", "parent").applyInPandas(_entry_states, ENTRY_SCHEMA)
+        if level is not levels[0]:
+            entries = entries.withColumnRenamed("block", "parent")
+    return entries
+
+
 def _number_groups(rows: pd.DataFrame) -> pd.DataFrame:
     """Pass 3 for one shard and block: the groups each document takes part in, as
     runs of lines."""
@@ -161,6 +215,7 @@ def pack_lines(
     seed: int = 12345,
     dupe_factor: int = 1,
     blocks: int | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Groups of consecutive lines.
 
@@ -201,9 +256,7 @@ def pack_lines(
         rows = rows.withColumn("targets", F.transform("lens", lambda _: F.lit(max_length)))
     rows = rows.withColumn("max_target", F.lit(max_length))
     steps = rows.groupBy(*KEYS).applyInPandas(_block_steps, STEP_SCHEMA)
-    entries = steps.groupBy("shard", "dupe").applyInPandas(
-        _entry_states, "shard string, dupe int, block int, entry_missing bigint, entry_group bigint"
-    )
+    entries = entry_states(steps, blocks, fan)
     return rows.join(entries, KEYS).groupBy(*KEYS).applyInPandas(_number_groups, RUN_SCHEMA)
 
 

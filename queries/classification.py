@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from queries.sql import seed, with_parts
 from textloom.functions.arrays import argmax
 from textloom.operators import labels as lab
 from textloom.operators import metrics
+from textloom.session import write_through
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +101,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in df.columns])
 
 
-@query(
-    "binary_metrics",
-    """WITH c AS (
+BINARY_SQL = """WITH c AS (
          SELECT sum((quality = 1 AND toxic = 1)::INT)::DOUBLE AS tp, sum((quality <> 1 AND toxic = 1)::INT)::DOUBLE AS fp,
                 sum((quality = 1 AND toxic <> 1)::INT)::DOUBLE AS fn, sum((quality <> 1 AND toxic <> 1)::INT)::DOUBLE AS tn
          FROM labels)
@@ -112,13 +113,29 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                          ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END, 6)
                 AS matthews_corrcoef,
               round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS roc_auc
-       FROM c""",
-)
+       FROM c"""
+
+
+@query("binary_metrics", BINARY_SQL)
 def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality as the label, toxic as a (poor) prediction of it."""
     return rounded(metrics.binary_metrics(load(spark, sf_dir, "labels"), "quality", "toxic"))
 
 
+NAMES = ["accuracy", "precision", "recall", "f1", "matthews_corrcoef", "roc_auc"]
+
+
+@query(
+    "metric_lookup",
+    f"WITH m AS ({BINARY_SQL}) " + " UNION ALL ".join(f"SELECT '{n}' AS metric, {n} AS value FROM m" for n in NAMES),
+)
+def metric_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by name from one table of counts."""
+    cells = write_through(metrics.confusion(load(spark, sf_dir, "labels"), "quality", "toxic"))
+    values = [metrics.metric(cells, name) for name in NAMES]
+    return rounded(reduce(DataFrame.unionByName, values))
+
+
 def class_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return rows.select("vec_id", argmax(F.transform(F.sequence(F.lit(0), F.lit(9)), every_nth(10))).alias("prediction"), "label")

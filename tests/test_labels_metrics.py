@@ -91,6 +91,14 @@ def test_report_picks_the_metric_set(spark):
     assert set(three) == {"accuracy", "f1-macro", "best_score"} and three["accuracy"] == 66.67
 
 
+def test_metrics_by_name(spark):
+    cells = metrics.confusion(frame(spark, [(0, 0), (1, 1), (1, 2)]))
+    assert [tuple(r) for r in metrics.metric(cells, "f1").collect()] == [("f1", pytest.approx(2 / 3))]
+    assert metrics.metric(cells, "accuracy", "multi").first().value == pytest.approx(2 / 3)
+    with pytest.raises(ValueError, match="unknown metric f1-macro"):
+        metrics.metric(cells, "f1-macro")
+
+
 def test_masked_lm_metrics(spark):
     rows = [(0, [1, 2], [1, 3], [1.0, 1.0], [-0.5, -1.0]), (0, [4, 4], [4, 0], [1.0, 0.0], [-2.0, -9.0]), (1, [0], [1], [1.0], [-3.0])]
     df = spark.createDataFrame(

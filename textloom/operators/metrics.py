@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.ordering import block_offsets, ordered_blocks
+from textloom.session import write_through
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -35,22 +36,19 @@ def _binary_columns() -> dict[str, Column]:
     }
 
 
-def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row of binary metrics; the positive label is 1, empty denominators give 0."""
+def _binary(cells: DataFrame) -> DataFrame:
     pos, pred = F.col("label") == 1, F.col("prediction") == 1
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    cells = confusion(df, label, prediction).agg(
+    sums = cells.agg(
         count(pos & pred).alias("tp"),
         count(~pos & pred).alias("fp"),
         count(pos & ~pred).alias("fn"),
         count(~pos & ~pred).alias("tn"),
     )
-    return cells.select(*[c.alias(name) for name, c in _binary_columns().items()])
+    return sums.select(*[c.alias(name) for name, c in _binary_columns().items()])
 
 
-def macro_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Accuracy and the mean F1 over all classes seen as label or prediction."""
-    cells = confusion(df, label, prediction)
+def _macro(cells: DataFrame) -> DataFrame:
     hit = (F.col("label") == F.col("prediction")).cast("bigint") * F.col("n")
     parts = cells.select(
         F.explode(
@@ -67,21 +65,41 @@ def macro_metrics(df: DataFrame, label: str = "label", prediction: str = "predic
     )
 
 
+#: The sets of metrics over a :func:`confusion` table, and the one that tells the best model.
+METRIC_SETS = {"binary": _binary, "multi": _macro}
+BEST = {"binary": "f1", "multi": "f1-macro"}
+
+
+def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row of binary metrics; the positive label is 1, empty denominators give 0."""
+    return _binary(confusion(df, label, prediction))
+
+
+def macro_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Accuracy and the mean F1 over all classes seen as label or prediction."""
+    return _macro(confusion(df, label, prediction))
+
+
+def metric(cells: DataFrame, name: str, kind: str = "binary") -> DataFrame:
+    """The metric of that name, one row ``metric, value``, from a :func:`confusion` table."""
+    row = METRIC_SETS[kind](cells)
+    if name not in row.columns:
+        raise ValueError(f"unknown metric {name}; there are {', '.join(row.columns)}")
+    return row.select(F.lit(name).alias("metric"), F.col(f"`{name}`").alias("value"))
+
+
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``(metric, value)`` in percent, rounded to two digits, with ``best_score``:
-    the binary set when there are fewer than three gold labels, else the macro set."""
-    wide = {"binary": binary_metrics(df, label, prediction), "multi": macro_metrics(df, label, prediction)}
-    golds = confusion(df, label, prediction).agg((F.count_distinct("label") < 3).alias("is_binary"))
-    best = {"binary": "f1", "multi": "f1-macro"}
-    long = None
-    for kind, row in wide.items():
-        pairs = [(c, c) for c in row.columns] + [("best_score", best[kind])]
-        values = F.array(
-            *[F.struct(F.lit(m).alias("metric"), F.bround(F.col(f"`{c}`") * 100, 2).alias("value")) for m, c in pairs]
-        )
-        part = row.select(F.explode(values).alias("v")).select("v.*", F.lit(kind == "binary").alias("is_binary"))
-        long = part if long is None else long.unionByName(part)
-    return long.join(F.broadcast(golds), "is_binary").select("metric", "value")
+    the binary set when there are fewer than three gold labels, else the macro set.
+    The rows are read once; the rest works on their counts."""
+    cells = write_through(confusion(df, label, prediction))
+    kind = "binary" if cells.agg(F.count_distinct("label")).first()[0] < 3 else "multi"
+    row = METRIC_SETS[kind](cells)
+    pairs = [(c, c) for c in row.columns] + [("best_score", BEST[kind])]
+    values = F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.bround(F.col(f"`{c}`") * 100, 2).alias("value")) for m, c in pairs]
+    )
+    return row.select(F.explode(values).alias("v")).select("v.*")
 
 
 def masked_lm_metrics(df: DataFrame, batch: str) -> DataFrame:

@@ -22,6 +22,14 @@ def saved(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def discarded(table: DataFrame) -> None:
+    """Delete a :func:`saved` table before its application ends: nothing reads it from here on."""
+    spark = table.sparkSession
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def whole_row(df: DataFrame, *but: str) -> Column:
     """All columns of ``df`` (but some) as one, named ``row``: out of the way of an
     operator's own names."""

@@ -39,9 +39,15 @@ def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs(spark, sf_dir)
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table, written once: prediction reads it several times."""
-    return write_through(qa.eval_features(question_set(spark, sf_dir), vocabulary(spark, sf_dir), WINDOWS, ["doc_id"]))
+SPAN_COLUMNS = ["id", "unique_id", "window", "doc_offset", "paragraph_len", "token_to_orig_map", "token_is_max_context"]
+ANSWER_COLUMNS = [*SPAN_COLUMNS, "window_words", "input_ids"]
+
+
+def features(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Feature table, written once, as prediction reads it several times; of its columns
+    those that are read."""
+    rows = qa.eval_features(question_set(spark, sf_dir), vocabulary(spark, sf_dir), WINDOWS, ["doc_id"])
+    return write_through(rows.select(*columns))
 
 
 def results(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ spans_ok AS (
 @query("complete_questions", LOGITS_SQL + " SELECT id FROM complete")
 def complete_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions all of whose windows have results."""
-    windows = features(spark, sf_dir)
+    windows = features(spark, sf_dir, ["id", "unique_id"])
     return pr.complete_questions(windows, results(spark, sf_dir, windows)).select("id")
 
 
@@ -102,7 +108,7 @@ def complete_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid (start, end) pairs among the best starts and ends of a window."""
-    windows = features(spark, sf_dir)
+    windows = features(spark, sf_dir, SPAN_COLUMNS)
     rows = pr.candidate_spans(windows, results(spark, sf_dir, windows), PREDICT)
     text = F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["last"]))
     return rows.select("unique_id", F.size("spans").cast("bigint").alias("n_spans"), F.array_join(text, ",").alias("spans"))
@@ -153,7 +159,7 @@ def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = features(spark, sf_dir)
+    windows = features(spark, sf_dir, ANSWER_COLUMNS)
     return pr.ranked(windows, results(spark, sf_dir, windows), PREDICT)
 
 
@@ -192,7 +198,7 @@ def null_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def qa_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole prediction job, answers trimmed to their tokens."""
-    windows = features(spark, sf_dir)
+    windows = features(spark, sf_dir, ANSWER_COLUMNS)
     out = pr.predict(windows, results(spark, sf_dir, windows), vocabulary(spark, sf_dir), PREDICT)
     return out.select("id", "text", F.round("null_score_diff", 6).alias("null_score_diff"))
 

@@ -40,3 +40,10 @@ def test_feature_table_holds_what_is_read(spark, monkeypatch):
     assert evaluation.candidate_spans(spark, "").count() > 0
     assert written[0] == ["id", "unique_id"]
     assert not {"attention_mask", "input_ids", "window_words"} & set(written[1])
+
+
+def test_flags_are_left_out_for_readers_without_a_use(spark):
+    config = qa.WindowConfig(max_seq_length=24, doc_stride=8, max_query_length=4)
+    rows = qa.eval_features(paragraphs(spark), vocabulary(), config, ["doc_id"])
+    assert "forall" in plan_of(rows.select("token_is_max_context"))
+    assert "forall" not in plan_of(rows.select("unique_id", "input_ids"))

@@ -191,9 +191,8 @@ def max_context(window: Column, n_tokens: Column, room: Column, stride: int) ->
         def full_score(k: Column, p: Column) -> Column:
             return F.least(p - k * stride, k * stride + cap - 1 - p) + F.lit(0.01) * cap
 
-        def beats_last(j: Column) -> Column:
-            p = w * stride + j
-            return (j >= low) & (j <= high) & ((p < last_start) | (full_score(w, p) >= last_score(p)))
+        def beats_last(p: Column) -> Column:
+            return full_score(w, p) >= last_score(p)
 
         def beats_full(j: Column) -> Column:
             p = last_start + j
@@ -206,9 +205,16 @@ def max_context(window: Column, n_tokens: Column, room: Column, stride: int) ->
                 F.array_repeat(false, lo), F.array_repeat(true, hi - lo + 1), F.array_repeat(false, size - 1 - hi)
             )
 
+        def contested() -> Column:
+            # only the positions from the start of the last window on are compared with it
+            free = F.greatest(low, (last - w) * stride)
+            shared = F.transform(F.sequence(w * stride + free, w * stride + high), beats_last)
+            before = F.concat(F.array_repeat(false, low), F.array_repeat(true, free - low))
+            return F.concat(before, shared, F.array_repeat(false, size - 1 - high))
+
         return (
             F.when(w == last, F.transform(spots, beats_full))
-            .when((last - w) * stride < cap, F.transform(spots, beats_last))
+            .when((last - w) * stride <= high, contested())
             .otherwise(span(low, high))
         )
 
@@ -228,7 +234,8 @@ def document_windows(rows: DataFrame, config: WindowConfig, carry: list[str], wi
 
     Window *i* starts at ``i * doc_stride`` and holds what fits next to the query.
     Slices are taken inside the generator, so the whole document is not copied
-    into every window.
+    into every window. Flags need numbers only and follow after it, so that they are
+    not computed for readers without a use for them.
     """
     query = F.slice("query", 1, config.max_query_length)
     rows = rows.withColumn("query", query).withColumn("_room", config.max_seq_length - F.size("query") - 3)
@@ -244,14 +251,16 @@ def document_windows(rows: DataFrame, config: WindowConfig, carry: list[str], wi
             F.slice("token_word", start + 1, room).alias("doc_words"),
         ]
         if with_flags:
-            fields.append(max_context(i, n, room, stride).alias("token_is_max_context"))
             # the words its tokens are of; the first one has the number of the first token
             first, last = F.col("token_word")[start], F.col("token_word")[F.least(start + room, n) - 1]
             fields.append(F.slice("words", first + 1, last - first + 1).alias("window_words"))
         return F.struct(*fields)
 
     windows = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), window))
-    return rows.select(*carry, "query", F.explode(windows).alias("w")).select(*carry, "query", "w.*")
+    out = rows.select(*carry, "query", n.alias("_n"), "_room", F.explode(windows).alias("w")).select(*carry, "query", "_n", "_room", "w.*")
+    if with_flags:
+        out = out.withColumn("token_is_max_context", max_context(F.col("window"), F.col("_n"), room, stride))
+    return out.drop("_n", "_room")
 
 
 def frame_windows(windows: DataFrame, vocab: Vocabulary, config: WindowConfig, carry: list[str]) -> DataFrame:

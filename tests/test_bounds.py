@@ -47,3 +47,18 @@ def test_flags_are_left_out_for_readers_without_a_use(spark):
     rows = qa.eval_features(paragraphs(spark), vocabulary(), config, ["doc_id"])
     assert "forall" in plan_of(rows.select("token_is_max_context"))
     assert "forall" not in plan_of(rows.select("unique_id", "input_ids"))
+
+
+def test_remembered_words_are_bounded():
+    words = pa.array([[[w] for w in WORDS], [[w, w] for w in WORDS[::-1]]])
+    known, ids = {}, vocabulary().ids
+    out = wp._pieces_of_batch(words, known, lambda w: [ids[w]], 10)
+    assert list(known) == WORDS[:10]
+    assert out.to_pylist() == [[[ids[w] for w in unit] for unit in row] for row in words.to_pylist()]
+
+
+def test_rows_are_sliced_by_words():
+    rows = [[["a"] * 3], None, [], [["b"] * 9, ["c"]], [["d"]], [["e"], None]]
+    parts = list(wp._slices(pa.array(rows), 4))
+    assert [len(p) for p in parts] == [3, 1, 2]
+    assert [r for p in parts for r in p.to_pylist()] == rows

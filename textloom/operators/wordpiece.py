@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from textloom.operators.vocabulary import SPECIAL_TOKENS, UNK, Vocabulary
 
 MAX_WORD_CHARS = 100
+PIECES_TYPE = pa.list_(pa.list_(pa.int32()))
 
 # Code-point ranges split into single characters.
 CJK_RANGES = [
@@ -102,15 +103,18 @@ def longest_match(word: str, ids: dict[str, int], unknown: int) -> list[int]:
     return pieces
 
 
-def _pieces_of_batch(batch: pa.ListArray, known: dict[str, list[int]], match) -> pa.ListArray:
-    """``list<list<string>>`` of words to ``list<list<int>>`` of piece ids."""
+def _pieces_of_batch(batch: pa.ListArray, known: dict[str, list[int]], match, max_remembered: int) -> pa.ListArray:
+    """``list<list<string>>`` of words to ``list<list<int>>`` of piece ids; ``known`` gains
+    words until it has ``max_remembered``."""
     units = batch.flatten()
     words = units.flatten().dictionary_encode()
     distinct = []
     for word in words.dictionary.to_pylist():
         pieces = known.get(word)
         if pieces is None:
-            pieces = known[word] = match(word)
+            pieces = match(word)
+            if len(known) < max_remembered:
+                known[word] = pieces
         distinct.append(pieces)
     size = np.array([len(p) for p in distinct], dtype=np.int64)
     start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -125,9 +129,24 @@ def _pieces_of_batch(batch: pa.ListArray, known: dict[str, list[int]], match) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(row_len)]).astype(np.int32)), inner)
 
 
-def wordpiece(vocab: Vocabulary, max_remembered: int = 500_000):
+def _slices(batch: pa.ListArray, max_words: int) -> Iterator[pa.ListArray]:
+    """Neighbouring rows with at most ``max_words`` words together, or one row with more."""
+    units = batch.flatten().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(units, dtype=np.int64)])[np.concatenate([[0], np.cumsum(rows, dtype=np.int64)])]
+    begin = 0
+    while begin < len(batch):
+        end = max(begin + 1, int(np.searchsorted(before, before[begin] + max_words, side="right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def wordpiece(vocab: Vocabulary, max_remembered: int = 50_000, max_words: int = 100_000):
     """A column function ``array<array<string>> -> array<array<int>>``: the
-    whitespace words of each unit (a line, a text) become its piece ids."""
+    whitespace words of each unit (a line, a text) become its piece ids.
+
+    What a worker holds is bounded: the pieces of ``max_remembered`` words (the first ones
+    met, among them the frequent ones) and of the words of some rows."""
     ids, unknown = vocab.ids, vocab.ids[UNK]
 
     def match(word: str) -> list[int]:
@@ -137,9 +156,8 @@ def wordpiece(vocab: Vocabulary, max_remembered: int = 500_000):
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
         for batch in batches:
-            if len(known) > max_remembered:
-                known.clear()
-            yield _pieces_of_batch(batch, known, match)
+            parts = [_pieces_of_batch(part, known, match, max_remembered) for part in _slices(batch, max_words)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], PIECES_TYPE)
 
     # keeps the optimizer from copying the call into filters placed after it
     return pieces.asNondeterministic()

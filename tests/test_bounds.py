@@ -62,3 +62,14 @@ def test_rows_are_sliced_by_words():
     parts = list(wp._slices(pa.array(rows), 4))
     assert [len(p) for p in parts] == [3, 1, 2]
     assert [r for p in parts for r in p.to_pylist()] == rows
+
+
+def test_words_cross_the_exchange_as_one_text(spark):
+    config = qa.WindowConfig(max_seq_length=24, doc_stride=8, max_query_length=4)
+    windows = qa.eval_features(paragraphs(spark), vocabulary(), config, ["doc_id"])
+    logits = F.array(*[F.lit(float(i % 7)) for i in range(24)])
+    results = windows.select("unique_id", logits.alias("start_logits"), logits.alias("end_logits"))
+    best = pr.best_of_windows(windows, results, pr.PredictConfig(n_best_size=5, max_answer_length=4))
+    assert "window_text" in plan_of(best)
+    texts = [t["entry"]["text"] for r in best.collect() for t in r["top"]]
+    assert texts and all(t in " ".join(WORDS * 3) for t in texts)

@@ -73,3 +73,10 @@ def test_words_cross_the_exchange_as_one_text(spark):
     assert "window_text" in plan_of(best)
     texts = [t["entry"]["text"] for r in best.collect() for t in r["top"]]
     assert texts and all(t in " ".join(WORDS * 3) for t in texts)
+
+
+def test_no_array_is_made_for_a_run_of_words(spark):
+    words = spark.createDataFrame([([(0, 2), (2, 3), (4, 6), (6, 7)],)], "s array<struct<b:int,e:int>>")
+    rows = words.select(masking.ngram_spans(F.col("s"), 2).alias("g"))
+    assert "slice" not in plan_of(rows)
+    assert [tuple(g) for g in rows.first()["g"]] == [(0, 2), (2, 3), (4, 6), (6, 7), (0, 3), (4, 7)]

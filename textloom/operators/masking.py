@@ -6,13 +6,15 @@ runs in Arrow batches and stops as soon as the budget is used.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import draws
-from textloom.functions.arrays import contiguous, let, sliding
+from textloom.functions.arrays import let, positions
 from textloom.operators.vocabulary import MASK, SPECIAL_KIND, SUFFIX_KIND, Vocabulary
 
 #: Draws of the n-grams at one place are so many apart, or further for longer ones.
@@ -57,15 +59,17 @@ def ngram_spans(spans: Column, max_ngram: int) -> Column:
     Overlapping words are an error."""
 
     def check(xs: Column) -> Column:
-        overlap = F.exists(sliding(xs, 2), lambda w: w[0]["e"] > w[1]["b"])
+        overlap = F.exists(positions(xs), lambda i: (i + 1 < F.size(xs)) & (xs[i]["e"] > xs[i + 1]["b"]))
         failed = F.raise_error(F.lit("overlapping spans")).cast("array<struct<b:int,e:int>>")
         return F.when(overlap, failed).otherwise(xs)
 
+    # neighbours are looked up by place: no array is made for a run
+    def touch(xs: Column, i: Column, n: int) -> Column:
+        return functools.reduce(lambda a, k: a & (xs[i + k]["e"] == xs[i + k + 1]["b"]), range(n - 1), i + n <= F.size(xs))
+
     def runs(xs: Column, n: int) -> Column:
-        return F.transform(
-            F.filter(sliding(xs, n), contiguous),
-            lambda w: F.struct(w[0]["b"].alias("b"), w[n - 1]["e"].alias("e")),
-        )
+        starts = positions(xs) if n == 1 else F.filter(positions(xs), lambda i: touch(xs, i, n))
+        return F.transform(starts, lambda i: F.struct(xs[i]["b"].alias("b"), xs[i + n - 1]["e"].alias("e")))
 
     return let(let(spans, check), lambda xs: F.concat(*[runs(xs, n) for n in range(1, max_ngram + 1)]))
 

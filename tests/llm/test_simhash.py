@@ -101,3 +101,13 @@ def test_groups_of_texts(spark):
         assert r["fingerprint"] & ((1 << 64) - 1) == prints[r["key"]]
         assert r["component"] == want[r["key"]]
     assert simhash.groups(df.limit(0), "doc", "text").count() == 0
+
+
+def test_stars_are_not_walked_again(spark, monkeypatch):
+    from textloom.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "saved", lambda df, saved=module.saved: written.append(1) or saved(df))
+    stars = [(1, 2), (3, 1), (7, 8), (5, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(stars, "x long, y long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} and len(written) == 1

@@ -149,3 +149,10 @@ def test_sequences_hold_the_words(spark):
     assert sum(len(r["ks"]) for r in out) == placed.count()
     for r in out:
         assert len(r["text"].split()) == r["used"] <= r["capacity"]
+
+
+def test_of_equal_rooms_the_bin_opened_first_is_filled():
+    lengths, sizes = [1, 3, 6, 19], (8, 16, 24)
+    cost = lambda n: n * (1 + n / 20)
+    groups = best_fit.plan_bins({n: 1 for n in lengths}, sizes, cost)
+    assert expand(groups, sizes) == brute_bins(lengths, sizes, cost) == [(8, (6,)), (24, (19, 3, 1))]

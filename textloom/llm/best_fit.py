@@ -88,7 +88,7 @@ def plan_bins(counts: dict[int, int], sizes=LENGTHS, cost: Callable[[int], float
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
         for room in sorted(r for r in rooms if r >= length):
-            for group in rooms.pop(room):
+            for group in sorted(rooms.pop(room), key=lambda g: g.first):  # of equal rooms the bin opened first
                 k = room // length
                 full = min(group.n, left // k)
                 filled, group = group.cut(full)

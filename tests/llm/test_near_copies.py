@@ -125,3 +125,17 @@ def test_revisions_stay_one_group(spark, monkeypatch):
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc long, text string").repartition(4)
     assert {r["key"]: r["component"] for r in near_copies.groups(df, "doc", "text").collect()} == brute(rows)
+
+
+def test_tables_between_the_steps_go(spark):
+    """Of the tables of the search those about links stay, none with prints, shingles or grams."""
+    import pathlib
+
+    from textloom.session import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    df = spark.createDataFrame(corpus(3), "doc long, t string")
+    near_copies.groups(df, "doc", "t")
+    left = [set(spark.read.parquet(str(f)).columns) for f in set(folder.iterdir()) - before]
+    assert not [c for c in left if c & {"prints", "shingles", "grams", "gram", "parity", "variant"}]

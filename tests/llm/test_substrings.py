@@ -110,3 +110,17 @@ def test_versions_of_one_key_and_missing_keys(spark):
     got = sorted(tuple(r) for r in substrings.remove_repeats(df, "doc", "text").collect())
     assert got == brute(rows[:3])
     assert substrings.remove_repeats(df.limit(0), "doc", "text").count() == 0
+
+
+def test_tables_between_the_steps_go(spark):
+    import pathlib
+
+    from textloom.session import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (2, "x " + text)], "doc long, t string")
+    out = substrings.remove_repeats(df, "doc", "t")
+    assert len(set(folder.iterdir()) - before) == 1
+    assert {r["key"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 80}

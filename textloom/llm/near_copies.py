@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from textloom.llm import words
 from textloom.llm.components import components
 from textloom.llm.simhash import variants
-from textloom.llm.tables import own_column, saved, whole_row
+from textloom.llm.tables import discarded, own_column, saved, whole_row
 
 SHINGLE, SIMILARITY = 5, 0.8
 INDEXED = 3
@@ -270,7 +270,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     hubs = saved(hot.groupBy("variant", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(least))
     near = hot.join(hubs, "variant").where(F.expr(f"node <> _hub.node AND bit_count(bits ^ _hub.bits) <= {NEAR_BITS}"))
     more = near.select(F.least("node", "_hub.node").alias("a"), F.greatest("node", "_hub.node").alias("b"))
-    return pairs.unionByName(more).distinct()
+    found = saved(pairs.unionByName(more).distinct())
+    discarded(swept)
+    discarded(hubs)
+    return found
 
 
 def _shingling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +301,10 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     sets = saved(texts.mapInArrow(_shingling, "node long, shingles binary"))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return saved(both.mapInArrow(_verifying, "a long, b long"))
+    alike = saved(both.mapInArrow(_verifying, "a long, b long"))
+    discarded(asked)
+    discarded(sets)
+    return alike
 
 
 def shared_grams(nodes: DataFrame) -> DataFrame:
@@ -351,7 +357,9 @@ def completed(nodes: DataFrame, tested: DataFrame, links: DataFrame, rows: DataF
         named = saved(named if not turn else named.where(F.col("rows") > PAIRWISE))
         several = named.groupBy("gram").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least < _most")
         open_rows = saved(named.join(several.select("gram"), "gram"))
+        discarded(named)
         if open_rows.isEmpty():
+            discarded(open_rows)
             break
         if turn == TURNS:
             pairs = _meeting(open_rows, open_rows)
@@ -362,11 +370,15 @@ def completed(nodes: DataFrame, tested: DataFrame, links: DataFrame, rows: DataF
                 small = open_rows.where(F.col("rows") <= PAIRWISE)
                 pairs = pairs.unionByName(_meeting(small, small)).distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
+        discarded(open_rows)
         tested = tested.unionByName(pairs)
-        found = verified(saved(_not_apart(pairs, nodes)), rows)
+        close = saved(_not_apart(pairs, nodes))
+        found = verified(close, rows)
+        discarded(close)
         if not found.isEmpty():
             links = links.unionByName(found)
             reached = components(links)
+    discarded(met)
     return reached
 
 
@@ -376,10 +388,13 @@ def groups(df: DataFrame, key: str, text: str) -> DataFrame:
     printed = saved(rows.mapInArrow(_printing(common_grams(rows)), PRINTED))
     kept = [F.first(c).alias(c) for c in ("prints", "size", "grams", "parity")]
     nodes = saved(printed.groupBy("h1", "h2").agg(F.min("key").alias("node"), *kept))
-    pairs = saved(candidates(nodes))
+    pairs = candidates(nodes)
     reached = completed(nodes, pairs, verified(pairs, rows), rows)
     named = saved(nodes.join(reached, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")))
-    return printed.join(named, ["h1", "h2"]).groupBy("key").agg(F.min("component").alias("component"))
+    told = saved(printed.join(named, ["h1", "h2"]).groupBy("key").agg(F.min("component").alias("component")))
+    for table in (printed, nodes, pairs, named):
+        discarded(table)
+    return told
 
 
 def deduplicate(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textloom.llm import words
-from textloom.llm.tables import saved, whole_row
+from textloom.llm.tables import discarded, saved, whole_row
 
 WINDOW, PHRASE = 50, 10
 PHRASE_BASE, FIRST_BASE, SECOND_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
@@ -210,7 +210,10 @@ def repeated(rows: DataFrame) -> DataFrame:
         windows.groupBy("w1", "w2").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high")
     )
     marks = windows.join(source, ["w1", "w2"]).where(F.col("key") > F.col("low")).select("key", "mark")
-    return saved(copies.unionByName(marks).groupBy("key").agg(F.collect_list("mark").alias("marks")))
+    lost = saved(copies.unionByName(marks).groupBy("key").agg(F.collect_list("mark").alias("marks")))
+    for table in (seeded, first, seeds, recurring, windows, source):
+        discarded(table)
+    return lost
 
 
 def remove_repeats(df: DataFrame, key: str, text: str, with_text: bool = False, with_row: bool = False) -> DataFrame:

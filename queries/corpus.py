@@ -19,7 +19,7 @@ CONFIG = examples.ExampleConfig(
 
 
 def joined(xs, sep: str = ",") -> F.Column:
-    return F.array_join(F.transform(xs, lambda x: x.cast("string")), sep)
+    return F.array_join((F.col(xs) if isinstance(xs, str) else xs).cast("array<string>"), sep)
 
 
 @query(
@@ -105,7 +105,7 @@ def token_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str, config=CONFIG) -> DataFrame:
-    return pretraining.packed_groups(write_through(tokens_of(spark, sf_dir)), config)
+    return pretraining.packed_groups(write_through(pretraining.with_lengths(tokens_of(spark, sf_dir))), config)
 
 
 @query(

@@ -1,14 +1,18 @@
 """What features and tokenisation cost beside their results."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import queries.evaluation as evaluation
+from textloom.functions import draws
 from textloom.operators import qa_features as qa
-from textloom.operators import masking
+from textloom.operators import masking, packing
 from textloom.operators import qa_predict as pr
 from textloom.operators import wordpiece as wp
+from textloom.operators.examples import ExampleConfig
 from textloom.operators.vocabulary import SPECIAL_TOKENS, Vocabulary
+from textloom.plans import pretraining
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -80,3 +84,65 @@ def test_no_array_is_made_for_a_run_of_words(spark):
     rows = words.select(masking.ngram_spans(F.col("s"), 2).alias("g"))
     assert "slice" not in plan_of(rows)
     assert [tuple(g) for g in rows.first()["g"]] == [(0, 2), (2, 3), (4, 6), (6, 7), (0, 3), (4, 7)]
+
+
+def test_only_lengths_of_pieces_are_tried():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    ids = Counted({"a": 0, "##a": 1, "##ab": 2})
+    assert wp.longest_match("a" * 60, ids, 9) == [0] + [1] * 59
+    assert Counted.asked <= 60
+    assert wp.longest_match("aab", ids, 9) == [0, 2] and wp.longest_match("abb", ids, 9) == [9]
+
+
+def test_units_are_split_by_the_batch(spark):
+    texts = [["w1  w2　w3\n", "", None, "w4\x0bw5 (w6)"], [], None, [" w7"]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t array<string>")
+    split = rows.select("i", wp.tokenise_units(vocabulary(), F.col("t")).alias("p"))
+    assert "lambdafunction" not in plan_of(split)
+    plain = rows.select("i", wp.wordpiece(vocabulary())(F.transform("t", wp.whitespace_words)).alias("p"))
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_spans_of_batches_are_those_of_the_expression(spark):
+    kinds = np.array([0, 1, 2], dtype=np.int8)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(0, 3, n).tolist()) for i, n in enumerate([0, 1, 1, 2, 0, 9, 40, 0])]
+    table = spark.createDataFrame(rows, "i int, ids array<int>").coalesce(1)
+    found = table.select("i", masking.find_spans(kinds)(F.col("ids")).alias("w"))
+    assert found.collect() == table.select("i", masking.word_spans(F.col("ids")).alias("w")).collect()
+
+
+def test_masks_are_made_by_the_batch(spark):
+    vocab = vocabulary()
+    rows = [(i, [7 + (i * 5 + k) % 40 for k in range(n)], [(b, b + 1 + b % 2) for b in range(0, n - 1, 3)], 77 * i) for i, n in enumerate([12, 1, 30, 0, 5])]
+    table = spark.createDataFrame(rows, "i int, ids array<int>, s array<struct<b:int,e:int>>, seed bigint").coalesce(1)
+    masked = table.withColumn("m", masking.corrupt_spans(F.col("ids"), F.col("s"), vocab, F.col("seed")))
+    masked = masked.withColumn("new", masking.apply_corruption(F.col("ids"), F.col("m")))
+    assert "lambdafunction" not in plan_of(masked)
+    usable = vocab.replacement_ids()
+    for (_, ids, spans, seed), row in zip(rows, masked.collect(), strict=True):
+        want = []
+        for b, e in spans:
+            u = draws.to_unit(draws.mix_numpy(seed, np.array([b * 2])))[0]
+            for p in range(b, e):
+                token = usable[draws.mix_numpy(seed, np.array([p * 2 + 1]))[0] % len(usable)]
+                want.append((p, ids[p], vocab.ids["[MASK]"] if u < 0.8 else ids[p] if u < 0.9 else token))
+        assert [tuple(m) for m in row["m"]] == want
+        assert row["new"] == [dict((p, n) for p, _, n in want).get(k, t) for k, t in enumerate(ids)]
+
+
+def test_stored_lengths_are_packed(spark, monkeypatch):
+    """The packing reads neither tokens nor their lengths again for its order."""
+    seen = []
+    real = packing.ordered_blocks
+    monkeypatch.setattr(packing, "ordered_blocks", lambda df, *a, **k: seen.append(plan_of(df)) or real(df, *a, **k))
+    tokens = spark.createDataFrame([("s", i, [[1, 2], [3]]) for i in range(5)], "shard string, doc_id bigint, lines array<array<int>>")
+    groups = pretraining.packed_groups(pretraining.with_lengths(tokens), ExampleConfig(max_seq_length=8, short_seq_prob=0.0))
+    assert "lambdafunction" not in seen[0]
+    assert sorted((r["grp"], r["lines"]) for r in groups.collect()) == [(0, [[1, 2], [3]] * 2 + [[1, 2]]), (1, [[3]] + [[1, 2], [3]] * 2)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,9 +158,9 @@ def replicate(rows: DataFrame, copies: int) -> DataFrame:
 
 def find_words(framed: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:
     """Add ``words`` (maskable spans) and the masking ``budget``."""
-    kinds = masking.token_kinds(F.col("ids"), vocab.kinds(config.do_whole_word_mask))
+    find = masking.find_spans(np.array(vocab.kind_list(config.do_whole_word_mask), dtype=np.int8))
     budget = masking.mask_budget(F.size("ids"), config.masked_lm_prob, config.max_predictions_per_seq)
-    return framed.withColumn("words", masking.word_spans(kinds)).withColumn("budget", budget)
+    return framed.withColumn("words", find(F.col("ids"))).withColumn("budget", budget)
 
 
 def choose_masks(rows: DataFrame, vocab: Vocabulary, config: ExampleConfig) -> DataFrame:

@@ -1,7 +1,7 @@
 """Masked-token selection and corruption, local to each row.
 
-Word spans and corruption are built-in expressions; the greedy choice of spans
-runs in Arrow batches and stops as soon as the budget is used.
+Word spans, corruption and the greedy choice of spans run in Arrow batches, the first two
+over all tokens of a batch at once; the choice stops as soon as the budget is used.
 """
 
 from __future__ import annotations
@@ -151,47 +151,70 @@ def select_spans(max_ngram: int | None):
     return select.asNondeterministic()
 
 
+def _bounds(rows: pa.ListArray) -> np.ndarray:
+    """Where each row begins in the flattened elements, and the end."""
+    return np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _lists(bounds: np.ndarray, elements: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), elements)
+
+
+def find_spans(kinds: np.ndarray):
+    """A column function ``ids -> array<struct<b,e>>``: :func:`word_spans` of whole batches;
+    ``kinds`` holds the kind of every id."""
+
+    @F.arrow_udf("array<struct<b:int,e:int>>")
+    def find(ids: pa.Array) -> pa.Array:
+        bounds = _bounds(ids)
+        kind = kinds[ids.flatten().to_numpy(zero_copy_only=False)]
+        edge = kind != SUFFIX_KIND
+        edge[1:] |= kind[:-1] == SPECIAL_KIND
+        edge[bounds[:-1][np.diff(bounds) > 0]] = True
+        begin = np.flatnonzero(edge)
+        end = np.append(begin[1:], len(kind))[: len(begin)]
+        word = kind[begin] != SPECIAL_KIND
+        begin, end = begin[word], end[word]
+        cut = np.searchsorted(begin, bounds)
+        first = np.repeat(bounds[:-1], np.diff(cut))
+        ends = [pa.array((x - first).astype(np.int32)) for x in (begin, end)]
+        return _lists(cut, pa.StructArray.from_arrays(ends, names=["b", "e"]))
+
+    return find.asNondeterministic()
+
+
 def corrupt_spans(ids: Column, spans: Column, vocab: Vocabulary, seed: Column) -> Column:
     """The masked positions with their old and new ids, ascending:
     ``array<struct<pos, label, new>>``. One draw per span: masked, kept, or every
     token replaced by its own random token."""
-    table, n = vocab.replacements()
-    mask_id = vocab.id(MASK)
-
-    def spread(xs: Column, action: Column) -> Column:
-        pos = F.flatten(F.transform(xs, lambda s: F.sequence(s["b"], s["e"] - 1)))
-        per_pos = F.flatten(F.transform(xs, lambda s, k: F.array_repeat(action[k], s["e"] - s["b"])))
-        token = draws.mix(seed, F.transform(pos, lambda p: p * 2 + 1))
-        return F.arrays_zip(pos.alias("pos"), per_pos.alias("u"), token.alias("t"))
-
-    def replace(tokens: Column, z: Column) -> Column:
-        old = tokens[z["pos"]]
-        new = (
-            F.when(z["u"] < MASK_SHARE, mask_id)
-            .when(z["u"] < MASK_SHARE + KEEP_SHARE, old)
-            .otherwise(table[(z["t"] % n).cast("int")])
-        )
-        return F.struct(z["pos"].alias("pos"), old.alias("label"), new.alias("new"))
-
-    def masked(xs: Column) -> Column:
-        action = F.transform(draws.mix(seed, F.transform(xs, lambda s: s["b"] * 2)), draws.to_unit)
-        return let(action, lambda a: spread(xs, a))
-
-    zipped = let(spans, masked)
-    return let(ids, lambda tokens: F.transform(zipped, lambda z: replace(tokens, z)))
+    table, mask_id = np.array(vocab.replacement_ids(), dtype=np.int32), vocab.ids[MASK]
+
+    @F.arrow_udf("array<struct<pos:int,label:int,new:int>>")
+    def corrupt(ids: pa.Array, spans: pa.Array, seed: pa.Array) -> pa.Array:
+        tokens, cut = ids.flatten().to_numpy(zero_copy_only=False), _bounds(spans)
+        begin, end = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.flatten().flatten())
+        size, row = end - begin, np.repeat(np.arange(len(spans)), np.diff(cut))
+        keys = seed.to_numpy(zero_copy_only=False)[row]
+        action = np.repeat(draws.to_unit(draws.mix_numpy(keys, begin * 2)), size)
+        before = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        pos = np.repeat(begin - before[:-1], size) + np.arange(before[-1])
+        old = tokens[np.repeat(_bounds(ids)[row], size) + pos]
+        drawn = table[draws.mix_numpy(np.repeat(keys, size), pos * 2 + 1) % len(table)]
+        new = np.where(action < MASK_SHARE, mask_id, np.where(action < MASK_SHARE + KEEP_SHARE, old, drawn))
+        columns = [pa.array(x.astype(np.int32)) for x in (pos, old, new)]
+        return _lists(before[cut], pa.StructArray.from_arrays(columns, names=["pos", "label", "new"]))
+
+    return corrupt.asNondeterministic()(ids, spans, seed)
 
 
 def apply_corruption(ids: Column, masked: Column) -> Column:
-    """``ids`` with the masked positions replaced, stitched from the unchanged
-    runs between them."""
-
-    def stitch(tokens: Column, ms: Column) -> Column:
-        before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(ms[F.greatest(k - 1, F.lit(0))]["pos"])
-        runs = F.transform(
-            ms,
-            lambda m, k: F.concat(F.slice(tokens, before(k) + 2, m["pos"] - before(k) - 1), F.array(m["new"])),
-        )
-        tail = F.slice(tokens, F.element_at(ms, -1)["pos"] + 2, F.size(tokens))
-        return F.when(F.size(ms) == 0, tokens).otherwise(F.concat(F.flatten(runs), tail))
+    """``ids`` with the masked positions replaced."""
+
+    @F.arrow_udf("array<int>")
+    def replace(ids: pa.Array, masked: pa.Array) -> pa.Array:
+        bounds, tokens = _bounds(ids), ids.flatten().to_numpy(zero_copy_only=False).copy()
+        pos, _, new = (x.to_numpy(zero_copy_only=False) for x in masked.flatten().flatten())
+        tokens[np.repeat(bounds[:-1], np.diff(_bounds(masked))) + pos] = new
+        return _lists(bounds, pa.array(tokens, pa.int32()))
 
-    return let(ids, lambda tokens: let(masked, lambda ms: stitch(tokens, ms)))
+    return replace.asNondeterministic()(ids, masked)

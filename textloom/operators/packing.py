@@ -231,7 +231,8 @@ def pack_lines(
     result holds one copy (``dupe`` 0), to be replicated as late as possible.
     """
     copies = dupe_factor if short_prob > 0 else 1
-    docs = docs.select("shard", "doc_id", "lens").where(F.size("lens") > 0)
+    # counted, sampled and exchanged: lengths are made from the tokens once
+    docs = write_through(docs.select("shard", "doc_id", "lens").where(F.size("lens") > 0))
     if blocks is None:
         lines = docs.agg(F.sum(F.size("lens")).alias("n")).first()["n"] or 0
         blocks = max(block_count(docs), -(-lines // BLOCK_LINES))

@@ -110,22 +110,26 @@ class Vocabulary:
     def id(self, token: str) -> Column:
         return F.lit(self.ids[token])
 
-    def kinds(self, whole_words: bool = True) -> Column:
-        """Kind of each id as a constant array: special, word start, or suffix.
-        Without whole words every ordinary token counts as a word start."""
+    def kind_list(self, whole_words: bool = True) -> list[int]:
+        """Kind of each id: special, word start, or suffix. Without whole words every
+        ordinary token counts as a word start."""
         special = set(SPECIAL_TOKENS.values())
-        return literal_array(
-            (
-                SPECIAL_KIND
-                if t in special
-                else SUFFIX_KIND if whole_words and t.startswith("##") else WORD_KIND
-                for t in self.tokens
-            )
-        )
+        return [
+            SPECIAL_KIND if t in special else SUFFIX_KIND if whole_words and t.startswith("##") else WORD_KIND
+            for t in self.tokens
+        ]
+
+    def kinds(self, whole_words: bool = True) -> Column:
+        """:meth:`kind_list` as a constant array."""
+        return literal_array(self.kind_list(whole_words))
+
+    def replacement_ids(self) -> list[int]:
+        """Ids a masked position may be replaced with."""
+        return [i for i, t in enumerate(self.tokens) if not (t.startswith("[unused") and t.endswith("]"))]
 
     def replacements(self) -> tuple[Column, int]:
-        """Ids a masked position may be replaced with, and how many there are."""
-        ids = [i for i, t in enumerate(self.tokens) if not (t.startswith("[unused") and t.endswith("]"))]
+        """:meth:`replacement_ids` as a constant array, and how many there are."""
+        ids = self.replacement_ids()
         return literal_array(ids), len(ids)
 
     def decode(self, ids: Column) -> Column:

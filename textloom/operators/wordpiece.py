@@ -1,4 +1,4 @@
-"""Tokenisation: whitespace words in the JVM, word pieces in Arrow batches.
+"""Tokenisation: whitespace words and word pieces in Arrow batches.
 
 A join of exploded words against the vocabulary would shuffle every word of the
 corpus twice, with a handful of words holding a large share of the rows. Here
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ _SPECIAL = "|".join("".join("\\" + c if c in "[]" else c for c in t) for t in SP
 BASIC_PATTERN = f"({_SPECIAL}|[{_PUNCT}{_CJK}]|[^{_SPACE}{_PUNCT}{_CJK}]+)"
 _SPECIAL_SET = frozenset(SPECIAL_TOKENS.values())
 _SPECIAL_RE = re.compile(f"({_SPECIAL})")
+_ASCII_RE = re.compile("[!-/:-@\\[-`{-~]|[^ !-/:-@\\[-`{-~]+")
+_ASCII_SPECIAL_RE = re.compile(f"{_SPECIAL}|{_ASCII_RE.pattern}")
 # The characters of _SPACE, for the Python side.
 _SPACE_RE = re.compile("[\t\n\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = "[\\p{C}\\x{FFFD}&&[^\\t\\n\\r]]"
@@ -71,6 +74,8 @@ def split_word(word: str, keep_special: bool = True) -> list[str]:
     """The same split as :func:`basic_tokens`, for one word or short text."""
     if word.isascii() and word.isalnum():
         return [word]
+    if word.isascii() and word.isprintable():
+        return (_ASCII_SPECIAL_RE if keep_special else _ASCII_RE).findall(word)
     word = "".join(c for c in word if c in "\t\n\r" or c != "\ufffd" and unicodedata.category(c)[0] != "C")
     if _SPACE_RE.search(word):
         return [part for w in _SPACE_RE.split(word) if w for part in split_word(w, keep_special)]
@@ -84,22 +89,42 @@ def split_word(word: str, keep_special: bool = True) -> list[str]:
     return parts
 
 
-def longest_match(word: str, ids: dict[str, int], unknown: int) -> list[int]:
-    """Greedy longest-match-first pieces of one word."""
+#: Pieces by their text, and their lengths by their first character, longest first.
+Pieces = tuple[dict[str, int], dict[str, tuple[int, ...]]]
+
+
+def pieces_by_start(ids: dict[str, int]) -> tuple[Pieces, Pieces]:
+    """The pieces that may begin a word, and those inside one, without their mark."""
+    inside = {token[2:]: i for token, i in ids.items() if token.startswith("##")}
+    tables = []
+    for known in (ids, inside):
+        sizes: dict[str, set[int]] = {}
+        for token in known:
+            if token:
+                sizes.setdefault(token[0], set()).add(len(token))
+        tables.append((known, {c: tuple(sorted(n, reverse=True)) for c, n in sizes.items()}))
+    return tables[0], tables[1]
+
+
+def longest_match(word: str, ids: dict[str, int], unknown: int, tables: tuple[Pieces, Pieces] | None = None) -> list[int]:
+    """Greedy longest-match-first pieces of one word: only lengths that some piece with the
+    next character has (``tables``, of :func:`pieces_by_start`) are tried."""
     if len(word) > MAX_WORD_CHARS:
         return [unknown]
+    (known, sizes), inside = tables or pieces_by_start(ids)
     pieces: list[int] = []
     begin = 0
     while begin < len(word):
-        prefix = "##" if begin else ""
-        for end in range(len(word), begin, -1):
-            piece = ids.get(prefix + word[begin:end])
+        for size in sizes.get(word[begin], ()):
+            # at the end of the word this may be shorter: then it is all that is left
+            piece = known.get(word[begin : begin + size])
             if piece is not None:
                 break
         else:
             return [unknown]
         pieces.append(piece)
-        begin = end
+        begin += size
+        known, sizes = inside
     return pieces
 
 
@@ -141,22 +166,57 @@ def _slices(batch: pa.ListArray, max_words: int) -> Iterator[pa.ListArray]:
         begin = end
 
 
-def wordpiece(vocab: Vocabulary, max_remembered: int = 50_000, max_words: int = 100_000):
+def _text_slices(batch: pa.ListArray, max_bytes: int) -> Iterator[pa.ListArray]:
+    """Neighbouring rows of texts with at most ``max_bytes`` together, or one row with more."""
+    sizes = pc.fill_null(pc.binary_length(batch.flatten()), 0).to_numpy(zero_copy_only=False)
+    rows = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], np.cumsum(rows, dtype=np.int64)])]
+    begin = 0
+    while begin < len(batch):
+        end = max(begin + 1, int(np.searchsorted(before, before[begin] + max_bytes, side="right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _split_units(batch: pa.ListArray) -> pa.ListArray:
+    """``list<string>`` to ``list<list<string>>``: whitespace words of each text, as of
+    :func:`whitespace_words` but for empty ones at the ends, which have no pieces."""
+    texts = pc.fill_null(batch.flatten(), "")
+    words = pc.split_pattern_regex(texts, _SPACE_RE.pattern) if len(texts) else pa.array([], pa.list_(pa.string()))
+    rows = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows)]).astype(np.int32)), words)
+
+
+def _single_words(batch: pa.ListArray) -> pa.ListArray:
+    """``list<string>`` to ``list<list<string>>``: every word a list of its own."""
+    words = batch.flatten()
+    rows = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    alone = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32)), words)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows)]).astype(np.int32)), alone)
+
+
+def wordpiece(vocab: Vocabulary, max_remembered: int = 50_000, max_words: int = 100_000, units: str = "lists"):
     """A column function ``array<array<string>> -> array<array<int>>``: the
-    whitespace words of each unit (a line, a text) become its piece ids.
+    whitespace words of each unit (a line, a text) become its piece ids. Units may also be
+    strings (``array<string>``): ``texts``, split by the batch, or single ``words``.
 
     What a worker holds is bounded: the pieces of ``max_remembered`` words (the first ones
     met, among them the frequent ones) and of the words of some rows."""
     ids, unknown = vocab.ids, vocab.ids[UNK]
 
-    def match(word: str) -> list[int]:
-        return [i for part in split_word(word) for i in longest_match(part, ids, unknown)]
-
     @F.arrow_udf("array<array<int>>")
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
+        tables = pieces_by_start(ids)
+
+        def match(word: str) -> list[int]:
+            return [i for part in split_word(word) for i in longest_match(part, ids, unknown, tables)]
+
         for batch in batches:
-            parts = [_pieces_of_batch(part, known, match, max_remembered) for part in _slices(batch, max_words)]
+            parts = []
+            for part in [batch] if units == "lists" else _text_slices(batch, 10 * max_words):
+                worded = part if units == "lists" else _split_units(part) if units == "texts" else _single_words(part)
+                parts += [_pieces_of_batch(part, known, match, max_remembered) for part in _slices(worded, max_words)]
             yield pa.concat_arrays(parts) if parts else pa.array([], PIECES_TYPE)
 
     # keeps the optimizer from copying the call into filters placed after it
@@ -165,15 +225,15 @@ def wordpiece(vocab: Vocabulary, max_remembered: int = 50_000, max_words: int =
 
 def tokenise_units(vocab: Vocabulary, units: Column) -> Column:
     """Piece ids of each string of an array."""
-    return wordpiece(vocab)(F.transform(units, whitespace_words))
+    return wordpiece(vocab, units="texts")(units)
 
 
 def tokenise_words(vocab: Vocabulary, words: Column) -> Column:
     """Piece ids of each word of an array. The rare word with inner spaces is split
     on the Python side, once per distinct word."""
-    return wordpiece(vocab)(F.transform(words, lambda w: F.array(w)))
+    return wordpiece(vocab, units="words")(words)
 
 
 def tokenise_text(vocab: Vocabulary, text: Column) -> Column:
     """Piece ids of one text."""
-    return wordpiece(vocab)(F.array(whitespace_words(text)))[0]
+    return wordpiece(vocab, units="texts")(F.array(text))[0]

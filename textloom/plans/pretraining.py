@@ -20,9 +20,15 @@ def tokenised_lines(lines: DataFrame, vocab: Vocabulary) -> DataFrame:
     return tokens.select("shard", "doc_id", F.filter("lines", lambda t: F.size(t) > 0).alias("lines"))
 
 
+def with_lengths(tokens: DataFrame) -> DataFrame:
+    """Tokenised documents with the number of tokens of every line (``lens``): once stored,
+    the packing need not read the tokens for them."""
+    return tokens.withColumn("lens", F.transform("lines", F.size))
+
+
 def packed_groups(tokens: DataFrame, config: examples.ExampleConfig, blocks: int | None = None) -> DataFrame:
     """Tokenised documents to groups of lines (``shard, dupe, grp, lines``)."""
-    lens = tokens.select("shard", "doc_id", F.transform("lines", F.size).alias("lens"))
+    lens = tokens if "lens" in tokens.columns else with_lengths(tokens)
     packed = packing.pack_lines(
         lens, config.max_seq_length, config.short_seq_prob, config.seed, config.dupe_factor, blocks
     )
@@ -34,7 +40,7 @@ def pretraining_examples(
 ) -> DataFrame:
     """The whole job. Tokens are written once and read twice: as lengths for the
     packing, and as tokens for the examples."""
-    tokens = write_through(tokenised_lines(lines, vocab))
+    tokens = write_through(with_lengths(tokenised_lines(lines, vocab)))
     return examples.examples_from_groups(packed_groups(tokens, config, blocks), vocab, config)
 
 

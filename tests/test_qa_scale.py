@@ -48,3 +48,37 @@ def test_contexts_are_split_as_by_the_expression(spark):
         number = F.flatten(F.transform("p", lambda p, i: F.array_repeat(i, F.size(p))))
         want = pieces.select("i", F.flatten("p").alias("tokens"), number.alias("token_word"), "t0")
         assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_windows_of_long_documents(spark):
+    """More windows than a block has, and as many as fill one exactly."""
+    stride, length = CONFIG.doc_stride, CONFIG.max_seq_length
+    contexts = [" ".join(WORDS[i % 40] for i in range(n)) for n in (1, 20, 15 * stride + 20, 15 * stride + 21, 31 * stride + 20, 400)]
+    vocab = vocabulary()
+    got = {r.unique_id: r for r in qa.eval_features(asked(spark, *contexts), vocab, CONFIG, ["doc_id"]).collect()}
+    seen = 0
+    for i, context in enumerate(contexts):
+        words = context.split()
+        for k in range(2):
+            query = WORDS[: k + 1]
+            room = length - len(query) - 3
+            starts = [0]
+            while starts[-1] + room < len(words):
+                starts.append(starts[-1] + stride)
+            for w, start in enumerate(starts):
+                r = got[f"{i}-{k}_{w}"]
+                part = words[start : start + room]
+                framed = ["[CLS]", *query, "[SEP]", *part, "[SEP]"]
+                assert [vocab.tokens[t] for t in r.input_ids] == framed + ["[PAD]"] * (length - len(framed))
+                assert sum(r.attention_mask) == len(framed) and sum(r.token_type_ids) == len(part) + 1
+                assert r.token_to_orig_map == list(range(start, start + len(part))) and r.window_words == part
+                assert (r.doc_offset, r.paragraph_len, len(r.token_is_max_context)) == (len(query) + 2, len(part), len(part))
+                seen += 1
+    assert seen == len(got)
+
+
+def test_slices_are_not_taken_for_readers_of_numbers(spark):
+    rows = qa.eval_features(asked(spark, " ".join(WORDS)), vocabulary(), CONFIG, ["doc_id"])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(token_word" in plan(rows.select("token_to_orig_map"))
+    assert not re.search("slice\\((tokens|token_word|words)", plan(rows.select("id", "unique_id", "paragraph_len")))
